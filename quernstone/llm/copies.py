@@ -26,7 +26,7 @@ def fingerprint(pairs: Column, lane: int) -> Column:
     """Sum, in 64 bits, of the hashes of an array of (field, value) structs; two lanes make 128 bits."""
     # Halves are added apart, so that the sums cannot overflow whatever the number of pairs.
     def half(shift: int) -> Column:
-        return F.aggregate(pairs, F.lit(0).cast("long"), lambda acc, p: acc + F.shiftrightunsigned(F.xxhash64(p["field"], p["value"], F.lit(lane)), shift).bitwiseAND(0xFFFFFFFF))
+        return F.aggregate(pairs, F.lit(0).cast("long"), lambda acc, p: acc + F.shiftrightunsigned(F.xxhash64(F.lit(lane), p["field"], p["value"]), shift).bitwiseAND(0xFFFFFFFF))
 
     return F.xxhash64(half(0), half(32))
 
