@@ -3,7 +3,7 @@
 import importlib
 
 #: Modules with QUERIES and ORACLE.
-MODULES = ("groups", "terms", "unify", "copies", "neardup", "lexicon", "packing", "residue")
+MODULES = ("scan", "groups", "terms", "unify", "copies", "neardup", "lexicon", "packing", "residue")
 
 _found = [importlib.import_module(f"quernstone.llm.{m}") for m in MODULES]
 QUERIES = {name: q for m in _found for name, q in m.QUERIES.items()}
