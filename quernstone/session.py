@@ -32,6 +32,18 @@ def local_session(cores: int = 8, memory: str = "8g", partitions: int | None = N
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once an application, so that they need no installation of it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quernstone_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="quernstone-ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.addPyFile(shutil.make_archive(f"{folder}/quernstone", "zip", os.path.dirname(here), os.path.basename(here)))
+    sc._quernstone_shipped = True
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table `name` of a data folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
