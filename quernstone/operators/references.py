@@ -6,7 +6,7 @@ references are spread, and the range's (bounded) key array goes to each salt.
 
 Defined results: a null or blank key is no reference; blanks and tabs around the keys of a field declared `trim` do not
 matter; a reference without a time can only be `missing`, with a null period; a parent without added_at is never late
-and without removed_at never deleted; parents that repeat count once, with their earliest added_at and latest end.
+and without removed_at never deleted; a late reference is not deleted too; parents that repeat count once, with their earliest added_at and latest end.
 Empty parents make every reference missing. Columns of the inputs beyond those named are not read.
 """
 
@@ -139,7 +139,8 @@ def _misses(t: pa.Table, right: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             place = np.searchsorted(wide, probes.astype(f"S{width}"))
             hit = (place < len(wide)) & (wide[np.minimum(place, len(wide) - 1)] == probes.astype(f"S{width}"))
             place, hit = np.minimum(place, len(wide) - 1)[which], hit[which]
-            late, deleted = hit & timed & (added[place] > at), hit & timed & (gone[place] <= at)
+            late = hit & timed & (added[place] > at)
+            deleted = hit & timed & ~late & (gone[place] <= at)
         else:
             hit = late = deleted = np.zeros(b.num_rows, dtype=bool)
         for kind, mask in (("missing", ~hit), ("late", late), ("deleted", deleted)):
