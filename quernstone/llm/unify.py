@@ -134,17 +134,24 @@ def unify(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         base = np.cumsum((marks == 0) | np.concatenate([[True], row[1:] != row[:-1]])) if len(points) else np.empty(0)
         order = np.lexsort((np.arange(len(points)), marks, base))
         points, marks = points[order], marks[order]
-        while len(points) > 1:  # one mark a base in each round
-            key = (points[:-1].astype(np.int64) << 21) | points[1:]
-            k = np.minimum(np.searchsorted(t["pairs"], key), len(t["pairs"]) - 1)
-            hit = (t["pairs"][k] == key) & (base[:-1] == base[1:]) & (marks[:-1] == 0) & (marks[1:] > 0)
-            if not hit.any():
-                break
-            points = points.copy()
-            points[:-1][hit] = t["made"][k[hit]]
-            keep = np.concatenate([[True], ~hit])
-            offsets = _regroup(keep, offsets)
-            points, marks, base = points[keep], marks[keep], base[keep]
+        points = points.copy()
+        start = np.flatnonzero(np.concatenate([[True], base[1:] != base[:-1]]))  # the base of each run of marks
+        run = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(points))))
+        place = np.arange(len(points)) - start[run]
+        keep, last = np.ones(len(points), dtype=bool), np.where(marks[start] == 0, 0, 255)
+        by_place = np.argsort(place, kind="stable")
+        edges = np.searchsorted(place[by_place], np.arange(1, place.max() + 2))
+        for k in range(len(edges) - 1):  # the first marks of all runs, then the second ones
+            at = by_place[edges[k] : edges[k + 1]]
+            r = run[at]
+            key = (points[start[r]].astype(np.int64) << 21) | points[at]
+            found = np.minimum(np.searchsorted(t["pairs"], key), len(t["pairs"]) - 1)
+            hit = (t["pairs"][found] == key) & (last[r] < marks[at])
+            points[start[r[hit]]] = t["made"][found[hit]]
+            keep[at[hit]] = False
+            last[r[~hit]] = marks[at[~hit]]
+        offsets = _regroup(keep, offsets)
+        points = points[keep]
     return points, offsets
 
 
