@@ -180,12 +180,38 @@ def repair_frames(text: str, labels: list[str]) -> str:
     return text
 
 
+def repair_wording(text: str, labels: list[str]) -> str:
+    """A question's wording repaired by its labels, rule after rule; a rule acts only where one reading is possible.
+
+    1. A closing frame that nothing opened goes. 2. A box cut in two around one label is joined. 3. A damaged range between two frames
+    spans the first and the last label. 4. Frames take their labels. 5. Blanks between a frame and Japanese text close up.
+    """
+    depth, kept = 0, []
+    for c in text:
+        if c == "］" and depth == 0:
+            continue
+        depth += (c == "［") - (c == "］")
+        depth = max(depth, 0)
+        kept.append(c)
+    text = "".join(kept)
+
+    def box(m: re.Match) -> str:
+        met = [x for x in labels if x.lower() == m[1].lower()]
+        return f"［{met[0]}］" if len(met) == 1 else m[0]
+
+    text = re.sub(r"［[\s　]*］\s*([A-Za-zア-ン])\s*［[\s　]*］", box, text)
+    if len(labels) > 2:
+        text = re.sub(r"［[\s　]*([^［］]{0,2})[\s　]*］\s*[~〜～ー－-]\s*［[\s　]*([^［］]{0,2})[\s　]*］", lambda m: f"［　{labels[0]}　］～［　{labels[-1]}　］" if (m[1].strip() in labels) != (m[2].strip() in labels) else m[0], text, count=1)
+    text = repair_frames(text, labels)
+    return re.sub(r"(?<=］)[ 　]+(?=[^\x00-\x7f［])|(?<=[^\x00-\x7f］])[ 　]+(?=［)", "", text)
+
+
 @F.pandas_udf(StringType())
 def repaired_frames(text, labels):  # noqa: ANN001, ANN202
-    """`repair_frames` of each text with its labels."""
+    """`repair_wording` of each text with its labels."""
     import pandas as pd
 
-    return pd.Series([None if t is None else repair_frames(t, [x for x in (ls if ls is not None else []) if x]) for t, ls in zip(text, labels)])
+    return pd.Series([None if t is None else repair_wording(t, [x for x in (ls if ls is not None else []) if x]) for t, ls in zip(text, labels)])
 
 
 def q_framed_blanks(spark: SparkSession, folder: str) -> DataFrame:

@@ -107,3 +107,27 @@ def test_fnv(spark):
 def test_nfkc_matches_python(spark, s):
     s = s.replace("\x00", "").encode("utf-8", "ignore").decode()
     assert one(spark, T.nfkc(F.col("s")), s=s) == unicodedata.normalize("NFKC", s)
+
+
+def test_wording():
+    labels = ["a", "b", "c"]
+    assert repair.repair_wording("値］は［　］b［　］である", labels) == "値は［　b　］である"
+    assert repair.repair_wording("［ a ］〜［ x ］に入れる", labels) == "［　a　］～［　c　］に入れる"
+    assert repair.repair_wording("MAC ［00］:［11］", labels) == "MAC ［00］:［11］"
+
+
+def test_booklet_with_damage():
+    from quernstone.operators.booklet import Line, format_items, marker_rows, parse_booklet, split_merged
+
+    rows = [
+        Line(0, "問1　次の図で", 0.08, 0.1), Line(0, "アクセスするもの", 0.10, 0.13), Line(0, "ア　甲　イ　乙", 0.14, 0.16), Line(0, "ウ　丙", 0.14, 0.19), Line(0, "続き", 0.17, 0.22), Line(0, "工　丁", 0.14, 0.25),
+        Line(0, "- 3 -", 0.48, 0.95), Line(1, "どれか。", 0.08, 0.1), Line(1, "ア　A1", 0.14, 0.16), Line(1, "イ　B", 0.14, 0.19), Line(1, "ウ　C", 0.14, 0.22), Line(1, "エ　D", 0.14, 0.25), Line(1, "間33台を調べた。", 0.08, 0.4), Line(1, "ア　x", 0.14, 0.5),
+    ]
+    assert [s.text for s in split_merged(rows[2:3])] == ["ア　甲", "イ　乙"]
+    got = parse_booklet([*rows[:2], Line(0, "ア　甲", 0.14, 0.16), Line(0, "イ　乙", 0.14, 0.17), *rows[3:]], 3)
+    assert got == [(1, "次の図でアクセスするもの", ["甲", "乙", "丙続き", "丁"]), (2, "どれか。", ["A1", "B", "C", "D"]), (3, "3台を調べた。ア　x", [])]
+    assert parse_booklet([], 3) == []
+    assert format_items(["解答群", "ア 暗号", "イ 認証", "ウ 監査と", "記録"]) == ["暗号", "認証", "監査と記録"]
+    assert format_items(["ア 一つ", "イ 二つ"]) is None
+    assert marker_rows([(0.1, 0.1), (0.3, 0.101), (0.1, 0.2), (0.3, 0.205)]) == [[0.1, 0.3], [0.1, 0.3]]
+    assert marker_rows([(0.1, 0.1), (0.3, 0.101), (0.1, 0.2)]) is None
