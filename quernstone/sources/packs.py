@@ -127,7 +127,7 @@ QUERIES = {n[2:]: f for n, f in list(globals().items()) if n.startswith("q_")}
 ORACLE = {
     "pack_offsets": f"WITH {_Q}, d AS (SELECT DISTINCT section, path, CAST(length(path) AS INT) AS size FROM f) SELECT section, path, size, CAST(coalesce(sum(size) OVER (PARTITION BY section ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM d",
     "pack_descriptors": f"WITH {_Q}, c AS (SELECT section, count(*) AS questions, count(DISTINCT sessionId) AS sessions FROM q GROUP BY section), g AS (SELECT section, count(DISTINCT path) AS figures FROM f GROUP BY section) SELECT c.section, questions, sessions, coalesce(figures, 0) AS figures FROM c LEFT JOIN g ON c.section = g.section",
-    "replace_by_section": f"WITH {_Q} SELECT id, section, sessionId FROM q WHERE section <> 'am1' OR sessionId = 'Q05haru'",
+    "replace_by_section": f"WITH {_Q} SELECT id, section, sessionId FROM q WHERE section <> 'am1' OR sessionId = 'Q05haru' OR NOT EXISTS (SELECT 1 FROM q WHERE section = 'am1' AND sessionId = 'Q05haru')",
     "orphan_assets": f"WITH {_Q} SELECT DISTINCT path FROM f WHERE section = 'am1' AND path NOT IN (SELECT path FROM f WHERE section <> 'am1')",
     "sessions_upserted": "SELECT id, CASE WHEN term = 'haru' THEN label || '*' ELSE label END AS label FROM sessions",
     "sections_union": f"WITH {_Q} SELECT DISTINCT section, CAST(list_position(['am1', 'am2', 'pm'], section) AS BIGINT) AS place FROM q",
