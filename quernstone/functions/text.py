@@ -112,4 +112,6 @@ def preview(s: Column, size: int) -> Column:
 
 def grams3(s: Column) -> Column:
     """Distinct three-character sequences; none of shorter texts."""
-    return F.when(F.length(s) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.substring(s, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    # the text is bound once: an expression within the inner lambda would be evaluated for every sequence
+    cut = F.transform(F.array(s), lambda b: F.when(F.length(b) >= 3, F.transform(F.sequence(F.lit(1), F.length(b) - 2), lambda i: F.substring(b, i, F.lit(3)))).otherwise(F.array().cast("array<string>")))
+    return F.array_distinct(F.flatten(cut))
