@@ -42,7 +42,7 @@ def copies(records: DataFrame, key: str, single: list[str], bag: str) -> DataFra
     The grouping aggregates before it shuffles and keeps one representative, so a group of any share of the rows is no burden.
     """
     pairs = F.concat(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in single]), F.transform(bag, lambda v: F.struct(F.lit(bag).alias("field"), v.alias("value"))))
-    marked = records.withColumn("pairs", pairs).withColumn("f1", fingerprint(F.col("pairs"), 1)).withColumn("f2", fingerprint(F.col("pairs"), 2)).drop("pairs")
+    marked = records.select(key, *single, bag).withColumn("pairs", pairs).withColumn("f1", fingerprint(F.col("pairs"), 1)).withColumn("f2", fingerprint(F.col("pairs"), 2)).drop("pairs")
     fields = [F.col(c) for c in [*single, bag]]
     heads = marked.groupBy("f1", "f2").agg(F.min_by(F.struct(*fields), F.col(key)).alias("head"), F.min(key).alias("keep_id"), F.count("*").alias("copies")).filter("copies > 1")
     met = marked.join(heads, ["f1", "f2"])

@@ -181,7 +181,9 @@ def _add_form(field: str):  # noqa: ANN202
 
 
 def with_form(df: DataFrame, field: str) -> DataFrame:
-    """`df` with the form of the text column `field` in column form."""
+    """`df` with the form of the text column `field` in column form; a column of that name is replaced."""
+    if "form" in df.columns and field != "form":
+        df = df.drop("form")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", form string"
     return df.mapInArrow(_add_form(field), schema)
 
@@ -191,7 +193,7 @@ def lookalike_pairs(rows: DataFrame) -> DataFrame:
 
     Texts travel as 128-bit digests; only forms that two different texts share are joined.
     """
-    formed = with_form(rows.filter("text is not null"), "text")
+    formed = with_form(rows.select("src", "scope", "id", "text").filter("text is not null"), "text")
     slim = formed.select("src", "scope", "id", F.md5("form").alias("form"), F.md5("text").alias("text")).distinct()
     slim, _ = materialize(slim, "p5-forms")
     shared = slim.groupBy("src", "scope", "form").agg(F.min("text").alias("t0"), F.max("text").alias("t1")).filter("t0 <> t1").select("src", "scope", "form")
