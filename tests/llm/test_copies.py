@@ -28,5 +28,10 @@ def test_collisions_are_told_apart(spark, monkeypatch):
     assert {p for p in found(spark.createDataFrame(ROWS, SCHEMA)) if p[0] != p[1]} == {p for p in WANT if p[0] != p[1]}
 
 
+def test_extra_columns_with_clashing_names(spark):
+    df = spark.createDataFrame(ROWS, SCHEMA).selectExpr("*", "1 AS f1", "2 AS head", "3 AS pairs", "4 AS keep_id", "5 AS copies")
+    assert found(df) == WANT
+
+
 def test_bare(spark):
     assert spark.createDataFrame([(" A-b。ガ①\n2",)], "s string").select(M.bare(F.col("s")).alias("x")).first()["x"] == "abガ①2"

@@ -39,3 +39,8 @@ def test_against_union_find(spark, shape):
 
 def test_nothing(spark):
     assert components(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_extra_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([("x", "y")], SCHEMA).selectExpr("*", "1 AS v", "2 AS u", "3 AS id", "4 AS group_id", "5 AS low")
+    assert {tuple(r) for r in components(df).collect()} == {("x", "x"), ("y", "x")}

@@ -48,3 +48,11 @@ def test_pairs(spark):
     got = {tuple(r) for r in lookalike_pairs(spark.createDataFrame(rows, "src string, scope string, id string, text string")).collect()}
     assert got == {("q", "1", "2"), ("q", "1", "3")}
     assert lookalike_pairs(spark.createDataFrame([], "src string, scope string, id string, text string")).count() == 0
+
+
+def test_extra_columns_with_clashing_names(spark):
+    from quernstone.llm.unify import with_form
+
+    df = spark.createDataFrame([("q", "s", "1", "Ａ"), ("q", "s", "2", "A")], "src string, scope string, id string, text string").selectExpr("*", "1 AS form", "2 AS id_a", "3 AS other")
+    assert {tuple(r) for r in lookalike_pairs(df).collect()} == {("q", "1", "2")}
+    assert [r["form"] for r in with_form(df, "text").collect()] == ["A", "A"]
