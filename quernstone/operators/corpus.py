@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from quernstone.functions import text as T
 from quernstone.operators.study import questions
+from quernstone.plans.ordered import place
 from quernstone.session import table
 
 #: Items a section should have per session, options of a choice question, and the length of a short text.
@@ -211,8 +212,8 @@ def q_repeated_ids(spark: SparkSession, folder: str) -> DataFrame:
 def q_corpus_order(spark: SparkSession, folder: str) -> DataFrame:
     """Choice questions by session (year, spring first), section and number, as a place in their session."""
     s = table(spark, folder, "sessions").select(F.col("id").alias("sessionId"), (F.col("exam_year") * 2 + F.when(F.col("term") == "aki", 1).otherwise(0)).cast("long").alias("ordinal"))
-    w = Window.partitionBy("sessionId", "section").orderBy("qno", "id")
-    return questions(spark, folder).join(F.broadcast(s), "sessionId").select("ordinal", "section", F.row_number().over(w).cast("long").alias("place"), "id")
+    q = questions(spark, folder).select("sessionId", "section", "qno", "id").join(F.broadcast(s), "sessionId")
+    return place(q, ["sessionId", "section"], ["qno", "id"]).select("ordinal", "section", "place", "id")
 
 
 def q_quality_report(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType
 from pyspark.sql.window import Window
 
 from quernstone.operators.study import questions
+from quernstone.plans.ordered import place
 from quernstone.session import table
 
 
@@ -204,9 +205,10 @@ def q_choice_order(spark: SparkSession, folder: str) -> DataFrame:
 
 def q_case_changes(spark: SparkSession, folder: str) -> DataFrame:
     """Written questions of a session in order, marked where the case changes."""
-    w = Window.partitionBy("sessionId").orderBy("qno", "id")
-    q = questions(spark, folder).filter("section = 'pm'")
-    return q.select("sessionId", "id", (~F.lag("caseId").over(w).eqNullSafe(F.col("caseId"))).alias("changes"), F.row_number().over(w).cast("long").alias("place"))
+    q = questions(spark, folder).filter("section = 'pm'").select("sessionId", "id", "qno", "caseId")
+    placed = place(q, ["sessionId"], ["qno", "id"])
+    before = placed.select("sessionId", (F.col("place") + 1).alias("place"), F.col("caseId").alias("before"))
+    return placed.join(before, ["sessionId", "place"], "left").select("sessionId", "id", (~F.col("before").eqNullSafe(F.col("caseId"))).alias("changes"), "place")
 
 
 _Q = "q AS (SELECT id, any_value(coalesce(section, 'am2')) AS section, any_value(sessionId) AS sessionId, any_value(tags) AS tags, any_value(caseId) AS caseId, any_value(qno) AS qno, any_value(duplicateGroupId) AS g FROM questions WHERE id IS NOT NULL GROUP BY id)"

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quernstone.operators.study import log, questions, section
+from quernstone.plans.ordered import prefix_sum
 from quernstone.session import table
 
 #: What a progress file calls itself.
@@ -55,8 +55,7 @@ def retire(registry: DataFrame, pack_id: str, sections: list[str]) -> DataFrame:
 
 def offsets(entries: DataFrame, group: str, path: str, size: str) -> DataFrame:
     """`entries` with the sum of the sizes before each in its group, by path."""
-    w = Window.partitionBy(group).orderBy(path).rowsBetween(Window.unboundedPreceding, -1)
-    return entries.withColumn("offset", F.coalesce(F.sum(size).over(w), F.lit(0)))
+    return prefix_sum(entries, [group], [path], size, "offset")
 
 
 def figures(spark: SparkSession, folder: str) -> DataFrame:
