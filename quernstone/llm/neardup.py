@@ -7,8 +7,11 @@ win. Registers agree with the probability Jaccard similarity; bands of registers
 exact set Jaccard similarity.
 
 Copies are never expanded: only one row for each distinct (section, content, formatting class) takes part. Buckets of up to `small`
-rows give all their pairs. Larger ones link every row to the smallest and are cut again by further registers, level by
-level, so no bucket of any size is enumerated; see README for what that keeps.
+rows give all their pairs. Larger ones link every row to the smallest and are cut again by further registers, level by level.
+
+The bands only find most links cheaply. What they may miss is found exactly: two alike sets share one of the rarest sequences of both
+(prefix filter), so all pairs that share one and are not in one group yet are compared, by size, place, a parity bitmap and at last
+the sets themselves. Sequences of many rows are split into pairs of blocks. Pairs inside a group need no comparison.
 
 Defined results: a null text or choice is empty; contents of fewer than three characters have no sequences and are
 alike to nothing but an equal non-empty content of another formatting class; a null section is `am2`; written questions
@@ -37,6 +40,8 @@ ALIKE = 0.60
 BANDS, BAND_ROWS, SMALL_BUCKET = 56, 4, 40
 #: Cells of the document-frequency table (fixed size, whatever the corpus).
 DF_BITS = 17
+#: Exact pass: rarest sequences in a part, rows of a sequence in a block, bits of the parity bitmap, and pairs compared at a time.
+PART, BLOCK, BITS, AT_ONCE = 400_000, 20_000, 512, 1 << 20
 _BARE = regex.compile(r"[^\p{L}\p{N}]+")
 
 
@@ -163,8 +168,143 @@ def bucket_pairs(keyed: DataFrame, small: int = SMALL_BUCKET, levels: int = 4) -
     return found.distinct()
 
 
+def _prefixes(counts: np.ndarray, b: pa.RecordBatch, threshold: float) -> tuple[np.ndarray, ...]:
+    """(owner, place, key, cell) of each row's rarest sequences, and (owner, key) of all, (sizes); keys are a section's own."""
+    flat, owner = _flat(b["grams"])
+    with np.errstate(over="ignore"):
+        key = _mix(flat.astype(np.uint64) ^ b["sec"].to_numpy(zero_copy_only=False).view(np.uint64)[owner])
+    cell = _cell(flat)
+    order = np.lexsort((key, counts[cell], owner))  # one order for all rows, rare ones first
+    owner, key, cell = owner[order], key[order], cell[order]
+    sizes = np.bincount(owner, minlength=b.num_rows)
+    place = np.arange(len(owner)) - (np.cumsum(sizes) - sizes)[owner]
+    first = place <= (sizes - np.ceil(threshold * sizes - 1e-9))[owner]
+    return owner[first], place[first], key[first], cell[first], owner, key, sizes
+
+
+def _crowded(counts, block: int, threshold: float):  # noqa: ANN001, ANN202
+    """Rarest sequences in cells so full that they may need blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2000):
+                _, _, key, cell, *_ = _prefixes(counts.value, whole.slice(start, 2000), threshold)
+                keys, n = np.unique(key[counts.value[cell] > block], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+
+    return run
+
+
+def _postings(counts, crowded, parts: int, threshold: float):  # noqa: ANN001, ANN202
+    """Each row's rarest sequences by part, with its bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, blocks = crowded.value
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                b = whole.slice(start, 1000)
+                owner, place, key, _, every, keys, sizes = _prefixes(counts.value, b, threshold)
+                with np.errstate(over="ignore"):
+                    bit = (_mix(keys) % np.uint64(BITS)).astype(np.int64)
+                    bits = np.packbits((np.bincount(every * BITS + bit, minlength=b.num_rows * BITS) & 1).astype(np.uint8).reshape(b.num_rows, BITS), axis=1)
+                    if len(hot):
+                        # a crowded sequence goes to all pairs of its blocks that the row's own block is in
+                        at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+                        n = np.where(hot[at] == key, blocks[at], 1)
+                        own = (_mix(b["node"].to_numpy().view(np.uint64))[owner] % n.astype(np.uint64)).astype(np.int64)
+                        times = np.maximum(n - 1, 1)
+                        at = np.repeat(np.arange(len(key)), times)
+                        other = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+                        other += (other >= own[at]) & (n[at] > 1)
+                        pair = np.minimum(own[at], other) * n[at] + np.maximum(own[at], other)
+                        owner, place, key = owner[at], place[at], np.where(n[at] > 1, _mix(key[at] ^ _mix(pair.astype(np.uint64))), key[at])
+                    part = (_mix(key) % np.uint64(parts)).astype(np.int64)
+                order = np.lexsort((part, owner))
+                owner, place, key, part = owner[order], place[order], key[order], part[order]
+                head = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])]) if len(owner) else np.empty(0, dtype=np.int64)
+                ends = pa.array(np.r_[head, len(owner)].astype(np.int32))
+                row = pa.array(owner[head])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part[head]), b["node"].take(row), b["comp"].take(row), b["kind"].take(row), pa.array(sizes[owner[head]]), pa.array([x.tobytes() for x in bits[owner[head]]], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(key.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(place.astype(np.int32)))],
+                    ["part", "node", "comp", "kind", "size", "bits", "keys", "places"],
+                )
+
+    return run
+
+
+def _meet(threshold: float):  # noqa: ANN202
+    """Pairs of a part that share a rare sequence, are of several groups and may be alike by size, place and bitmap."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        node, comp, size = (t[c].to_numpy() for c in ("node", "comp", "size"))
+        single = t["kind"].is_valid().to_numpy()
+        kind = t["kind"].fill_null(0).to_numpy()
+        bits = np.frombuffer(b"".join(t["bits"].to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
+        key, row = _flat(t["keys"].combine_chunks())
+        place, _ = _flat(t["places"].combine_chunks())
+        order = np.lexsort((comp[row], key))
+        key, row, place = key[order], row[order], place[order]
+        n, here = len(key), np.arange(len(key))
+        fresh = np.r_[True, key[1:] != key[:-1]]
+        change = fresh | np.r_[True, comp[row[1:]] != comp[row[:-1]]]
+        # a row meets all rows of its sequence that stand after its own group
+        begin = np.r_[np.flatnonzero(change), n][np.cumsum(change)]
+        end = np.r_[np.flatnonzero(fresh), n][np.cumsum(fresh)]
+        todo = end - begin
+        found = [np.empty((0, 2), dtype=np.int64)]
+        i, done = 0, np.cumsum(todo)
+        split = 0  # partners of row i that are compared already
+        while i < n:
+            base = (done[i - 1] if i else 0) + split
+            last = int(np.searchsorted(done, base + AT_ONCE, side="right"))
+            if last <= i:  # the partners of one row in pieces
+                x, y = np.full(AT_ONCE, i), begin[i] + split + np.arange(AT_ONCE)
+                split += AT_ONCE
+            else:
+                many = todo[i:last].copy()
+                many[0] -= split
+                x = np.repeat(here[i:last], many)
+                first = begin[i:last].copy()
+                first[0] += split
+                y = np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+                i, split = last, 0
+            a, b = row[x], row[y]
+            both = size[a] + size[b]
+            least = np.ceil(threshold / (1 + threshold) * both - 1e-9)
+            ok = (np.minimum(size[a], size[b]) >= least) & (np.minimum(size[a] - place[x], size[b] - place[y]) >= least)
+            a, b, both, least = a[ok], b[ok], both[ok], least[ok]
+            ok = ~(single[a] & single[b] & (kind[a] == kind[b]))
+            ok &= np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= both - 2 * least
+            if ok.any():
+                found.append(np.unique(np.sort(np.column_stack([node[a[ok]], node[b[ok]]]), axis=1), axis=0))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pa.array(np.ascontiguousarray(pairs[:, 0])), "b": pa.array(np.ascontiguousarray(pairs[:, 1]))})
+
+    return run
+
+
+def missed_pairs(nodes: DataFrame, counts: np.ndarray, *, threshold: float = ALIKE, block: int | None = None) -> DataFrame:
+    """Pairs (a, b), a < b, distinct, among which is every alike pair of different groups; nodes: (node, sec, comp, kind, grams).
+
+    kind: the formatting class if the node has one only, else null; nodes of one class are no links.
+    """
+    sc, block = nodes.sparkSession.sparkContext, block or BLOCK
+    held = sc.broadcast(counts)
+    hot = {}
+    if counts.max(initial=0) > block:
+        # no more sequences than rows' rarest ones divided by the block
+        full = nodes.select("sec", "grams").mapInArrow(_crowded(held, block, threshold), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > block)
+        hot = {r["key"]: max(2, -(-r["n"] // block)) for r in full.toLocalIterator()}
+    keys = np.sort(np.array(list(hot), dtype=np.int64).view(np.uint64))
+    blocks = np.array([hot[int(k)] for k in keys.view(np.int64)], dtype=np.int64)
+    parts = max(1, int(((1 - threshold) * counts.sum()) // PART))
+    posted = nodes.select("node", "sec", "comp", "kind", "grams").mapInArrow(_postings(held, sc.broadcast((keys, blocks)), parts, threshold), "part long, node long, comp long, kind long, size long, bits binary, keys array<long>, places array<int>")
+    return posted.groupBy("part").applyInArrow(_meet(threshold), "a long, b long").distinct()
+
+
 def alike_nodes(nodes: DataFrame, *, threshold: float = ALIKE, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
-    """Pairs (a, b) of distinct contents whose shingle sets are alike; nodes: (node long, section, grams)."""
+    """Pairs (a, b) of distinct contents whose shingle sets are alike, all that join groups; nodes: (node long, section, kind, grams), kind null if several."""
     spark = nodes.sparkSession
     total = nodes.count()
     counts = np.zeros(1 << DF_BITS)
@@ -173,6 +313,17 @@ def alike_nodes(nodes: DataFrame, *, threshold: float = ALIKE, bands: int = BAND
     weights = np.log((total + 1.0) / np.minimum(np.maximum(counts, 1), total + 0.5)) + 0.05
     keyed, _ = materialize(nodes.select("node", "grams").mapInArrow(_signatures(spark.sparkContext.broadcast(weights), bands, band_rows), "node long, keys array<long>"), "p7-keys")
     pairs, _ = materialize(bucket_pairs(keyed), "p7-candidates")
+    near, _ = materialize(verified(pairs, nodes, threshold), "p7-near")
+    # nodes of one kind only that they share are no link, so their pairs join no groups
+    links = near.join(nodes.select(F.col("node").alias("a"), F.col("kind").alias("ka")), "a").join(nodes.select(F.col("node").alias("b"), F.col("kind").alias("kb")), "b").filter("ka is null or kb is null or ka <> kb").select("a", "b")
+    groups = components(links, member="node", group="comp")
+    grouped = nodes.join(groups, "node", "left").select("node", F.xxhash64("section").alias("sec"), F.coalesce("comp", "node").alias("comp"), "kind", "grams")
+    rest, _ = materialize(missed_pairs(grouped, counts, threshold=threshold), "p7-rest")
+    return near.unionAll(verified(rest, nodes, threshold))
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose sets are alike."""
     side = nodes.select("node", "section", "grams")
     met = pairs.join(side.withColumnsRenamed({"node": "a", "grams": "ga", "section": "sa"}), "a").join(side.withColumnsRenamed({"node": "b", "grams": "gb", "section": "sb"}), "b").filter("sa = sb")
     shared = F.size(F.array_intersect("ga", "gb"))
@@ -194,8 +345,8 @@ def alike_groups(rows: DataFrame, **how) -> DataFrame:  # noqa: ANN003
     made, _ = materialize(rows.mapInArrow(_content_rows, "section string, kind long, id string, text string, grams array<long>"), "p7-rows")
     keyed = made.filter("text <> ''").withColumn("c", F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))).drop("text")
     # one numbered node per distinct content of a section
-    named, _ = materialize(keyed.groupBy("section", "c").agg(F.first("grams").alias("grams")).withColumn("node", F.monotonically_increasing_id()), "p7-nodes")
-    nodes = named.select("node", "section", "grams")
+    named, _ = materialize(keyed.groupBy("section", "c").agg(F.first("grams").alias("grams"), F.when(F.min("kind") == F.max("kind"), F.min("kind")).alias("kind")).withColumn("node", F.monotonically_increasing_id()), "p7-nodes")
+    nodes = named.select("node", "section", "kind", "grams")
     pairs, _ = materialize(alike_nodes(nodes, **how), "p7-pairs")
     # a member of the graph is a (node, kind); rows of one member are copies of each other
     placed_ids, _ = materialize(keyed.select("section", "c", "kind", "id").join(named.select("section", "c", "node"), ["section", "c"]).select("node", "kind", "id"), "p7-ids")

@@ -77,3 +77,19 @@ def test_extra_columns_with_clashing_names(spark):
     rows = [("a", 1, "x", "one two three four five six"), ("a", 2, "y", "one two three four five sex")]
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS node", "2 AS grams", "3 AS key", "4 AS text")
     assert {tuple(r) for r in M.alike_groups(df).collect()} == {("x", "x"), ("y", "x")}
+
+
+def letters(rng, n):
+    return "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(n))
+
+
+def test_links_of_a_template_group(spark):
+    # all rows hold one text of 102 letters; of each section's rows only two have little besides
+    rng = random.Random(4)
+    base, rows = letters(rng, 102), []
+    for s in range(12):
+        own = [28, 28, *[90 + k for k in range(8)]]
+        rows += [(f"s{s}", len(rows) + k, f"q{s:02}-{k}", base + letters(rng, n)) for k, n in enumerate(own)]
+    want = brute(rows)
+    assert len(want) == 24
+    assert {r["id"]: r["group_id"] for r in M.alike_groups(spark.createDataFrame(rows, SCHEMA)).collect()} == want
