@@ -93,3 +93,19 @@ def test_links_of_a_template_group(spark):
     want = brute(rows)
     assert len(want) == 24
     assert {r["id"]: r["group_id"] for r in M.alike_groups(spark.createDataFrame(rows, SCHEMA)).collect()} == want
+
+
+@pytest.mark.parametrize("block", [20_000, 7])
+def test_links_within_crowded_buckets(spark, monkeypatch, block):
+    # one register: buckets of most rows, whose smallest row is alike to few of them
+    monkeypatch.setattr(M, "BLOCK", block)
+    monkeypatch.setattr(M, "PART", 500)
+    rng = random.Random(5)
+    base, rows = letters(rng, 60), []
+    for f in range(60):
+        own = letters(rng, 60)
+        rows += [("a", 2 * f + k, f"q{f:02}-{k}", base + edited(rng, own, 6)) for k in range(2)]
+    rows.append(("a", 0, "copy", rows[1][3]))
+    want = brute(rows)
+    assert len(want) >= 60
+    assert {r["id"]: r["group_id"] for r in M.alike_groups(spark.createDataFrame(rows, SCHEMA), bands=1, band_rows=1).collect()} == want
