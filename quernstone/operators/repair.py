@@ -16,33 +16,60 @@ from quernstone.session import table
 
 #: Votes: how rare the odd spelling, and how many times as frequent the common one must be.
 ODD, TIMES = 5, 10
+#: Marks at which a line end cuts a word.
+MARKS = "-‐‑‒–—−¬\u00ad⁃"
+
+
+def rejoined(pattern: str, repl: str) -> str:
+    """A pattern of several lines as it was before line ends, page numbers and running headers cut it: the form most like its replacement."""
+    lines = [x.strip() for x in pattern.split("\n") if x.strip()]
+    forms = ["".join(x.rstrip(MARKS) if k < len(lines) - 1 else x for k, x in enumerate(lines)), "".join(lines), *lines]
+    alike = lambda x: difflib.SequenceMatcher(None, re.sub(r"\(\?[^()]*\)", "", x), repl, autojunk=False).ratio()
+    return max(forms, key=alike)
 
 
 def usable_rules(spark: SparkSession, folder: str) -> list[tuple[int, str, str]]:
-    """Correction rules (ord, pattern, repl) in order: repeated patterns once, invalid and multi-line ones left out. The table does not grow."""
+    """Correction rules (ord, pattern, repl) in order: repeated patterns once, invalid ones left out. The table does not grow.
+
+    A pattern of several lines counts as written, for texts cut at the same place, and then rejoined.
+    """
     out, seen = [], set()
-    for r in table(spark, folder, "corrections").orderBy("ord").collect():
-        if not r["pattern"] or "\n" in r["pattern"] or r["pattern"] in seen:
-            continue
-        try:
-            re.compile(r["pattern"])
-        except re.error:
-            continue
-        seen.add(r["pattern"])
-        out.append((r["ord"], r["pattern"], r["repl"] or ""))
+    for r in table(spark, folder, "corrections").filter("ord is not null").orderBy("ord").collect():
+        repl = r["repl"] or ""
+        whole = r["pattern"] or ""
+        for pattern in [whole, rejoined(whole, repl)] if "\n" in whole.strip() else [whole]:
+            if not pattern or pattern in seen:
+                continue
+            try:
+                re.compile(pattern).sub(repl, "")
+            except (re.error, IndexError):
+                continue
+            seen.add(pattern)
+            out.append((r["ord"], pattern, repl))
     return out
 
 
 def apply_rules(s: Column, rules: list[tuple[int, str, str]]) -> Column:
-    """Ordered regular-expression replacements."""
-    for _, pattern, repl in rules:
-        s = F.regexp_replace(s, pattern, repl.replace("\\", r"\\").replace("$", r"\$"))
-    return s
+    """Ordered regular-expression replacements, patterns and replacements in Python's syntax."""
+
+    @F.pandas_udf(StringType())
+    def corrected(texts):  # noqa: ANN001, ANN202
+        compiled = [(re.compile(pattern), repl) for _, pattern, repl in rules]
+
+        def one(t: str | None) -> str | None:
+            if t:
+                for pattern, repl in compiled:
+                    t = pattern.sub(repl, t)
+            return t
+
+        return texts.map(one)
+
+    return corrected(s)
 
 
 def q_corrected_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """Texts that the correction rules change (plain rules only, in order)."""
-    rules = [r for r in usable_rules(spark, folder) if re.escape(r[1]) == r[1] or r[1].isalnum()]
+    """Texts that the correction rules change (all valid rules, in order)."""
+    rules = usable_rules(spark, folder)
     return questions(spark, folder).filter("text is not null").select("id", F.col("text").alias("before"), apply_rules(F.col("text"), rules).alias("after")).filter("before <> after").select("id", "after")
 
 
