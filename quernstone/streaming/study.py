@@ -34,12 +34,20 @@ def advance(state: tuple | None, at: int, result: str) -> tuple:
     return attempts + 1, corrects + (result == "true"), partials + (result == "partial"), result, box, due, at
 
 
+HELD = f"{STATE}, answers array<struct<at:long,seq:long,result:string>>"
+
+
 def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    now = state.get if state.exists else None
-    rows = pd.concat(list(batches)).sort_values(["answered_at", "seq"])
-    for at, result in zip(rows["answered_at"], rows["result"]):
-        now = advance(now, int(at), result)
-    state.update(now)
+    held = [tuple(a) for a in state.get[-1]] if state.exists else []
+    rows = pd.concat(list(batches))
+    new = sorted((int(at), int(seq), result) for at, seq, result in zip(rows["answered_at"], rows["seq"], rows["result"]))
+    if held and new[0] < held[-1]:  # an answer older than one folded already: all are folded again in order
+        now, todo = None, sorted(held + new)
+    else:
+        now, todo = state.get[:-1] if state.exists else None, new
+    for at, _, result in todo:
+        now = advance(now, at, result)
+    state.update((*now, sorted(held + new)))
     yield pd.DataFrame([(key[0], *now)], columns=["question_id", *(c.split()[0] for c in STATE.split(", "))])
 
 
@@ -77,10 +85,10 @@ def drained(stream: DataFrame, tag: str, mode: str = "append") -> DataFrame:
 
 
 def leitner_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """State of each question, folded as answers arrive; of each question the state of its last batch."""
+    """State of each question, folded in order of time in whatever order answers arrive; of each question the state of its last batch."""
     events = answers(spark, folder).filter("question_id is not null and answered_at is not null and result is not null").select("question_id", "answered_at", "seq", "result")
     distinct = events.dropDuplicates(["seq"])
-    states = distinct.groupBy("question_id").applyInPandasWithState(_fold, f"question_id string, {STATE}", STATE, "update", GroupStateTimeout.NoTimeout)
+    states = distinct.groupBy("question_id").applyInPandasWithState(_fold, f"question_id string, {STATE}", HELD, "update", GroupStateTimeout.NoTimeout)
     out = drained(states, "leitner", "update")
     rest = [c for c in out.columns if c not in ("question_id", "_epoch")]
     return out.groupBy("question_id").agg(F.max_by(F.struct(*rest), "_epoch").alias("s")).select("question_id", "s.*")
@@ -89,14 +97,14 @@ def leitner_stream(spark: SparkSession, folder: str) -> DataFrame:
 def sittings_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Sittings of each device: session windows of twenty minutes over event time."""
     e = answers(spark, folder).filter("answered_at >= 0 and device is not null").select("device", "result", "seq", F.timestamp_millis("answered_at").alias("ts"))
-    s = e.withWatermark("ts", "400 days").dropDuplicatesWithinWatermark(["seq"]).groupBy("device", F.session_window("ts", "20 minutes").alias("w")).agg(F.count("*").alias("n"), F.count_if(F.col("result") == "true").alias("correct"))
+    s = e.dropDuplicates(["seq"]).groupBy("device", F.session_window("ts", "20 minutes").alias("w")).agg(F.count("*").alias("n"), F.count_if(F.col("result") == "true").alias("correct"))
     return drained(s.select("device", F.col("w.start").alias("opened"), "n", "correct"), "sittings", "complete")
 
 
 def daily_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Answers per day and mode, rows that come late included."""
     e = answers(spark, folder).filter("answered_at >= 0").select("mode", "seq", F.timestamp_millis("answered_at").alias("ts"))
-    s = e.withWatermark("ts", "400 days").dropDuplicatesWithinWatermark(["seq"]).groupBy(F.window("ts", "1 day").alias("w"), "mode").agg(F.count("*").alias("n"))
+    s = e.dropDuplicates(["seq"]).groupBy(F.window("ts", "1 day").alias("w"), "mode").agg(F.count("*").alias("n"))
     return drained(s.select(F.unix_millis("w.start").alias("day_ms"), "mode", "n"), "daily", "complete")
 
 
