@@ -33,7 +33,7 @@ def read_progress(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 def replace_by_section(held: DataFrame, incoming: DataFrame) -> DataFrame:
     """Rows of `held` but for the sections that `incoming` brings, and all of `incoming`."""
     brought = incoming.select(section(F.col("section")).alias("_s")).distinct()
-    kept = held.join(F.broadcast(brought.limit(1000)), section(F.col("section")) == F.col("_s"), "left_anti")  # sections are few
+    kept = held.join(brought, section(F.col("section")) == F.col("_s"), "left_anti")
     return kept.unionByName(incoming, allowMissingColumns=True)
 
 

@@ -57,3 +57,9 @@ def test_write_replaces_only_its_sessions(spark, tmp_path):
     write_sessions(spark.createDataFrame([("1", "am1", "a"), ("2", "am1", "b")], schema), path)
     write_sessions(spark.createDataFrame([("3", "am1", "b")], schema), path)
     assert {r["id"] for r in spark.read.parquet(path).collect()} == {"1", "3"}
+
+
+def test_replacement_of_many_sections(spark):
+    held = spark.range(1500).selectExpr("concat('s', id) AS section", "id", "'old' AS v")
+    got = replace_by_section(held, held.filter("id < 1400").selectExpr("section", "id", "'new' AS v"))
+    assert {r["v"]: r["count"] for r in got.groupBy("v").count().collect()} == {"old": 100, "new": 1400}
