@@ -6,7 +6,6 @@ A booklet's lines are a bounded group (some twenty-five questions), parsed toget
 from __future__ import annotations
 
 import difflib
-import itertools
 import re
 from dataclasses import dataclass, replace
 
@@ -22,8 +21,9 @@ from quernstone.session import table
 
 # Glyphs read for each option's marker.
 MARKERS = {"ア": "アァ", "イ": "イィ", "ウ": "ウゥワヮ", "エ": "エェ工ヱ"}
-#: How far markers of one column may be apart, and the assignments tried.
-SPREAD, TRIES = 0.013, 400
+# Fixed values, measured in shares of the page: width of a column of markers, height of a row, how much further right a text without its
+# marker begins, and how far headings may stand from the leftmost one.
+SPREAD, ROW, SHIFT, COLUMN, RIM = 0.013, 0.02, (0.028, 0.052), 0.06, 0.008
 _HEAD = re.compile(r"^[問間]\s*(\d{1,3})")
 _PAGE = re.compile(r"^[\s\-–—ー−=_]*\d{1,3}[\s\-–—ー−=_]*$")
 
@@ -59,26 +59,74 @@ def split_merged(lines: list[Line]) -> list[Line]:
     return out
 
 
-def in_line(block: list[Line], picked: tuple[int, ...]) -> bool:
-    """Whether markers stand in one column, or step to the right over few heights."""
-    xs, ys = [block[i].x for i in picked], [(block[i].page, round(block[i].y / 0.02)) for i in picked]
-    return max(xs) - min(xs) < SPREAD or (len(set(ys)) < len(picked) and all(a < b for i, (a, b) in enumerate(zip(xs, xs[1:])) if ys[i] == ys[i + 1]))
+def in_column(block: list[Line], places: list[list[int]]) -> tuple[int, ...] | None:
+    """The latest rising choice of one place from each list whose lines begin within one column.
+
+    For every column that some line opens on the left, the last line of each list before the one chosen after it is best.
+    """
+    best = None
+    for left in {block[i].x for some in places for i in some}:
+        chosen, bound = [], len(block)
+        for some in reversed(places):
+            bound = max((i for i in some if i < bound and 0 <= block[i].x - left < SPREAD), default=-1)
+            chosen.append(bound)
+            if bound < 0:
+                break
+        else:
+            best = max(best or chosen, chosen)
+    return tuple(reversed(best)) if best else None
+
+
+def in_rows(block: list[Line], places: list[list[int]]) -> tuple[int, ...] | None:
+    """The latest rising choice of one place from each list in which some neighbours share a row, each right of the one before.
+
+    chains: for a last place and whether a row is shared so far, the latest choice up to it, written from its end.
+    """
+    row = [(line.page, round(line.y / ROW)) for line in block]
+    chains = {(i, False): (i,) for i in places[0]}
+    for some in places[1:]:
+        longer: dict[tuple[int, bool], tuple[int, ...]] = {}
+        for (i, shared), chain in chains.items():
+            for j in some:
+                same = row[i] == row[j]
+                if i < j and (not same or block[i].x < block[j].x):
+                    key = (j, shared or same)
+                    longer[key] = max(longer.get(key, ()), (j, *chain))
+        chains = longer
+    best = max((chain for (_, shared), chain in chains.items() if shared), default=None)
+    return best[::-1] if best else None
+
+
+def latest(block: list[Line], places: list[list[int]]) -> tuple[int, ...] | None:
+    """The latest choice of either layout."""
+    return max((c for c in (in_column(block, places), in_rows(block, places)) if c), key=lambda c: c[::-1], default=None)
 
 
 def assign_markers(block: list[Line]) -> tuple[int, ...] | None:
     """Lines that open the four options: the latest that stand in line; None if no four do."""
-    places = [[i for i, line in enumerate(block) if opens(line, k)][::-1] for k in MARKERS]
-    tried = 0
-    for e, u, i in itertools.product(places[3], places[2], places[1]):
-        if not i < u < e:
+    return latest(block, [[i for i, line in enumerate(block) if opens(line, k)] for k in MARKERS])
+
+
+def recover_marker(block: list[Line]) -> tuple[tuple[int, ...], int] | None:
+    """(lines that open the four options, which one of them shows no marker) where exactly one marker was not read.
+
+    The line must stand between its neighbours: a text that begins a glyph further right goes first, then a line in the markers'
+    column, then any that does not stand left of them.
+    """
+    places = [[i for i, line in enumerate(block) if opens(line, k)] for k in MARKERS]
+    for n in range(len(places)):
+        seen = latest(block, places[:n] + places[n + 1 :]) if all(places[:n] + places[n + 1 :]) else None
+        if seen is None:
             continue
-        for a in places[0]:
-            if a < i:
-                tried += 1
-                if in_line(block, (a, i, u, e)):
-                    return a, i, u, e
-                if tried >= TRIES:
-                    return None
+        columns = [block[i].x for i in seen]
+
+        def rank(x: float, columns: list[float] = columns) -> int:
+            return 0 if any(SHIFT[0] <= x - c <= SHIFT[1] for c in columns) else 1 if any(abs(x - c) <= SPREAD for c in columns) else 2 if x >= min(columns) - SPREAD else 3
+
+        between = range(seen[n - 1] + 1 if n else 1, seen[n] if n < len(seen) else len(block))
+        fit = min(((rank(block[i].x), i) for i in between), default=(3, 0))
+        if fit[0] < 3:
+            return (*seen[:n], fit[1], *seen[n:]), n
     return None
 
 
@@ -98,20 +146,24 @@ def parse_booklet(lines: list[Line], top: int) -> list[tuple[int, str, list[str]
     if not heads:
         return []
     edge = min(rows[i].x for i, _ in heads)
-    heads = [(i, d) for i, d in heads if rows[i].x <= edge + 0.06]
-    far = max(rows[i].x for i, _ in heads) + 0.008
+    heads = [(i, d) for i, d in heads if rows[i].x <= edge + COLUMN]
+    far = max(rows[i].x for i, _ in heads) + RIM
     found = expected_sequence(heads, top, [i for i, line in enumerate(rows) if line.x <= far])
     out = []
     starts = sorted((i, n) for n, i in found.items())
     for (i, n), (j, _) in zip(starts, [*starts[1:], (len(rows), 0)]):
         block = rows[i:j]
         block[0] = replace(block[0], text=re.sub(rf"^[問間]\s*{n}[\s　]*", "", block[0].text.strip()))
-        picked = assign_markers(block)
+        picked, bare = assign_markers(block), -1
         if picked is None:
-            out.append((n, run_on([b.text for b in block]), []))
-            continue
+            recovered = recover_marker(block)
+            if recovered is None:
+                out.append((n, run_on([b.text for b in block]), []))
+                continue
+            picked, bare = recovered
         ends = [*picked[1:], len(block)]
-        options = [run_on([re.sub(r"^.[\s　.．]*", "", block[a].text.strip(), count=1), *(b.text for b in block[a + 1 : z])]) for a, z in zip(picked, ends)]
+        # a recovered line has lost its marker, or shows a misread one before a blank
+        options = [run_on([re.sub(r"^.[\s　.．]+" if k == bare else r"^.[\s　.．]*", "", block[a].text.strip(), count=1), *(b.text for b in block[a + 1 : z])]) for k, (a, z) in enumerate(zip(picked, ends))]
         out.append((n, run_on([b.text for b in block[: picked[0]]]), options))
     return out
 

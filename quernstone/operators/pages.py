@@ -5,6 +5,8 @@ All work is within a page (a bounded group). A page read twice counts once, by i
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,49 +136,45 @@ def q_dropped_by_one(spark: SparkSession, folder: str) -> DataFrame:
     return p.select("file", F.array_join(F.array_sort(F.array_except(second, own)), "").alias("only_second")).filter("only_second <> ''")
 
 
+def _readings(shown: str, top: int) -> dict[int, int]:
+    """Numbers up to `top` that a run of digits may stand for, with their worth: 2 as it is, 1 with other digits stuck to its end."""
+    return {n: 2 if k == len(shown) else 1 for k in range(1, len(shown) + 1) if 1 <= (n := int(shown[:k])) <= top}
+
+
 def expected_sequence(found: list[tuple[int, str]], top: int, free: list[int] = ()) -> dict[int, int]:
     """Numbers 1..top to places, from candidates (place, digits) in order.
 
-    The next number is taken where it is met; a second pass also takes a number with digits stuck to it and skips ahead over
-    missed ones. A false start is dropped up to four times. A number still missing takes the first free place between its neighbours.
+    The numbers must rise with the places, so the heaviest rising chain is taken: by dynamic programming, with the best chain below each
+    number held in a tree of prefix maxima; of equal chains the one that stands earlier. Numbers that no candidate shows take the free places between
+    their neighbours, in order.
     """
-
-    def scan(pool: list[tuple[int, str]], loose: bool) -> dict[int, int]:
-        got: dict[int, int] = {}
-        want = 1
-        for place, d in pool:
-            if want > top:
-                break
-            if d == str(want) or (loose and d.startswith(str(want))):
-                got[want] = place
-                want += 1
-            elif loose and want < int(d) <= top:
-                got[int(d)] = place
-                want = int(d) + 1
-        return got
-
-    best: dict[int, int] = {}
-    for loose in (False, True):
-        pool = list(found)
-        for _ in range(4):
-            got = scan(pool, loose)
-            if len(got) == top:
-                return got
-            best = got if len(got) > len(best) else best
-            if not got:
-                break
-            first = min(got.values())
-            pool = [c for c in pool if c[0] != first]
-    taken = set(best.values())
-    for n in range(1, top + 1):
-        if n not in best:
-            low = max((best[m] for m in best if m < n), default=-1)
-            high = min((best[m] for m in best if m > n), default=1 << 30)
-            slot = next((p for p in sorted(free) if low < p < high and p not in taken), None)
-            if slot is not None:
-                best[n] = slot
-                taken.add(slot)
-    return best
+    # prefix maxima over numbers: (worth, link), a link is (number, place, link before)
+    tree: list[tuple[int, tuple | None]] = [(0, None)] * (top + 1)
+    for place, shown in found:
+        grown = []
+        for n, worth in _readings(shown, top).items():
+            best, k = (0, None), n - 1
+            while k > 0:
+                best, k = max(best, tree[k], key=lambda x: x[0]), k & (k - 1)
+            grown.append((n, (best[0] + worth, (n, place, best[1]))))
+        for n, chain in grown:
+            while n <= top:
+                if chain[0] > tree[n][0]:
+                    tree[n] = chain
+                n += n & -n  # noqa: PLW2901
+    best, k = (0, None), top
+    while k > 0:
+        best, k = max(best, tree[k], key=lambda x: x[0]), k & (k - 1)
+    got, link = {}, best[1]
+    while link:
+        got[link[0]] = link[1]
+        link = link[2]
+    spare = sorted(set(free) - set(got.values()))
+    anchors = sorted(got.items())
+    for (low, after), (high, before) in zip([(0, -1), *anchors], [*anchors, (top + 1, 1 << 62)]):
+        between = spare[bisect_right(spare, after) : bisect_left(spare, before)]
+        got.update(zip(range(low + 1, high), between))
+    return got
 
 
 def q_page_sequence(spark: SparkSession, folder: str) -> DataFrame:
