@@ -1,18 +1,21 @@
 """Near-duplicate records with small edits (problem 7) by ProbMinHash, banding and verification.
 
-Shingles are three-character sequences, packed exactly into 63 bits. Their weights are inverse document frequencies from counts over
-the whole corpus, held in a table of fixed size. ProbMinHash lets every shingle arrive as a Poisson process whose rate
-is its weight; a register keeps the shingle of its first arrival, and a document stops drawing once no later arrival can
-win. Registers agree with the probability Jaccard similarity; bands of registers propose pairs, which are verified by the
-exact set Jaccard similarity.
-
-Copies are never expanded: only one row for each distinct (section, content, formatting class) takes part. Buckets of up to `small`
-rows give all their pairs. Larger ones link every row to the smallest and are cut again by further registers, level by level.
-
-The bands only find most links cheaply. What they may miss is found exactly: two alike sets share one of the rarest sequences of both
-(prefix filter), so all pairs that share one and are not in one group yet are compared, by size, place, a parity bitmap and at last
+Shingles are three-character sequences. ProbMinHash lets every shingle arrive as a Poisson process whose rate is its weight; a
+register keeps the shingle of its first arrival, and a document stops drawing once no later arrival can win. Registers agree with the
+probability Jaccard similarity. All weights are equal here, since the similarity asked for is that of sets: weights by rarity would make
+registers of rows that share a template agree far less than their sets do. Bands of registers propose pairs, which size and a parity
+bitmap of the shingles thin out and the sets themselves verify.
+
+Copies are never expanded: only one row for each distinct (section, content, formatting class) takes part. Buckets of up to
+`SMALL_BUCKET` rows give all their pairs, larger ones link every row to the smallest; buckets beyond `BLOCK` rows are linked while they are
+counted and go to no task as a whole.
+
+The bands find most links cheaply. What they may miss is found exactly: two alike sets share one of the rarest sequences of both
+(prefix filter), so all pairs that share one and are not in one group yet are compared, by size, place, bitmap and at last
 the sets themselves. Sequences of many rows are split into pairs of blocks. Pairs inside a group need no comparison.
 
+Texts travel, not their shingles, which are many times larger and cut again where they are needed.
+
 Defined results: a null text or choice is empty; contents of fewer than three characters have no sequences and are
 alike to nothing but an equal non-empty content of another formatting class; a null section is `am2`; written questions
 take no part; rows that repeat an id count once.
@@ -36,12 +39,15 @@ from quernstone.session import materialize, table
 
 #: Similarity that makes two records alike.
 ALIKE = 0.60
-#: Bands of registers, registers in a band, and the rows of a bucket whose pairs are all proposed.
-BANDS, BAND_ROWS, SMALL_BUCKET = 56, 4, 40
-#: Cells of the document-frequency table (fixed size, whatever the corpus).
+#: Bands of registers, registers in a band (a pair of similarity 0.6 meets with 0.994, one of 0.65 with 0.9996), and the rows of a bucket
+#: whose pairs are all proposed.
+BANDS, BAND_ROWS, SMALL_BUCKET = 64, 5, 40
+#: Cells of the tables of counts (fixed size, whatever the corpus).
 DF_BITS = 17
-#: Exact pass: rarest sequences in a part, rows of a sequence in a block, bits of the parity bitmap, and pairs compared at a time.
-PART, BLOCK, BITS, AT_ONCE = 400_000, 20_000, 512, 1 << 20
+#: Keys in a part, rows of a key in a block, bits of the parity bitmap, and pairs compared at a time.
+PART, BLOCK, BITS, AT_ONCE = 2_000_000, 20_000, 512, 1 << 20
+#: Candidates sent to every task for verification (a checked bound, 16 bytes each); beyond it they are shuffled.
+SENT = 200_000
 _BARE = regex.compile(r"[^\p{L}\p{N}]+")
 
 
@@ -66,269 +72,416 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def prob_min_hash(flat: np.ndarray, owner: np.ndarray, weights: np.ndarray, rows: int, registers: int) -> np.ndarray:
-    """Registers of `rows` documents from their shingles: the winner's hash of every register.
+def prob_min_hash(flat: np.ndarray, owner: np.ndarray, weights: np.ndarray, rows: int, registers: int, draws: int = 6) -> np.ndarray:
+    """Registers of `rows` documents from their shingles: 24 bits of the winner's hash of every register.
 
     flat, owner, weights: one entry per shingle of a document. Each entry draws exponential gaps in its own pseudo-random
-    stream; a draw goes to a register of that stream. An entry leaves once its next arrival is later than every
-    register of its document.
+    stream, `draws` at a time; a draw goes to a register of that stream. An entry leaves once its next arrival is later than every
+    register of its document. A register holds arrival and winner in one number, so that one minimum finds both.
     """
-    best = np.full(rows * registers, np.inf)
-    winner = np.zeros(rows * registers, dtype=np.uint64)
+    low = np.uint64(0xFFFFFF)
+    best = np.full(rows * registers, ~np.uint64(0))
     with np.errstate(over="ignore"):
         seed = _mix(flat.astype(np.uint64))
-        state, owner_now, rate, arrival = seed.copy(), owner, weights, np.zeros(len(flat))
-        ids = seed
-        while len(state):
-            state = _mix(state)
-            arrival = arrival - np.log1p(-((state >> np.uint64(11)).astype(np.float64) * 2.0**-53)) / rate
-            slot = owner_now * registers + (_mix(state ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(registers)).astype(np.int64)
-            better = arrival < best[slot]
-            if better.any():
-                s, a, i = slot[better], arrival[better], ids[better]
-                np.minimum.at(best, s, a)
-                first = a == best[s]
-                winner[s[first]] = i[first]
+        rate, arrival, first = np.asarray(weights, dtype=np.float64), np.zeros(len(seed)), 0
+        while len(seed):
+            steps = np.arange(first, first + draws, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
+            h = _mix(seed[:, None] + steps[None, :])
+            when = np.cumsum(-np.log(((h >> np.uint64(24)) + np.uint64(1)).astype(np.float64) * 2.0**-40) / rate[:, None], axis=1) + arrival[:, None]
+            slot = (owner * registers)[:, None] + (((h & low) * np.uint64(registers)) >> np.uint64(24)).astype(np.int64)
+            value = (when.view(np.uint64) & ~low) | (seed >> np.uint64(40))[:, None]
+            np.minimum.at(best, slot.ravel(), value.ravel())
             latest = best.reshape(rows, registers).max(axis=1)
-            alive = arrival < latest[owner_now]
-            state, owner_now, rate, arrival, ids = state[alive], owner_now[alive], rate[alive], arrival[alive], ids[alive]
-    return winner.reshape(rows, registers)
+            arrival = when[:, -1]
+            alive = (arrival.view(np.uint64) & ~low) < latest[owner]
+            seed, owner, rate, arrival, first = seed[alive], owner[alive], rate[alive], arrival[alive], first + draws
+    return (best & low).reshape(rows, registers)
+
+
+def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, hash of 52 bits) of the distinct three-character sequences of up to 4096 texts, sorted."""
+    length = np.array([len(t) for t in texts], dtype=np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    if len(points) < 3:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+    owner = np.repeat(np.arange(len(texts), dtype=np.uint64), length)
+    with np.errstate(over="ignore"):
+        h = _mix((points[:-2] << np.uint64(42)) | (points[1:-1] << np.uint64(21)) | points[2:])
+    keep = owner[:-2] == owner[2:]
+    both = np.sort((owner[:-2][keep] << np.uint64(52)) | (h[keep] >> np.uint64(12)))
+    if len(both):
+        both = both[np.r_[True, both[1:] != both[:-1]]]
+    return (both >> np.uint64(52)).astype(np.int64), both & np.uint64((1 << 52) - 1)
 
 
-def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return pc.list_flatten(lists).to_numpy(zero_copy_only=False), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+def _cell(token: np.ndarray) -> np.ndarray:
+    return (token >> np.uint64(52 - DF_BITS)).astype(np.int64)
 
 
-def _cell(flat: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (_mix(flat.astype(np.uint64)) >> np.uint64(64 - DF_BITS)).astype(np.int64)
+def _slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for start in range(0, whole.num_rows, size):
+            yield whole.slice(start, size)
 
 
 def _df_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << DF_BITS, dtype=np.int64)
-    for b in batches:
-        flat, _ = _flat(b["grams"])
-        counts += np.bincount(_cell(flat), minlength=1 << DF_BITS)
+    for b in _slices(batches, 2000):
+        counts += np.bincount(_cell(tokens(b["text"].to_pylist())[1]), minlength=1 << DF_BITS)
     used = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["cell", "n"])
 
 
 def _content_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = [content(t) for t in b["raw"].to_pylist()]
-        grams = [shingles(t) for t in texts]
-        offsets = np.concatenate([[0], np.cumsum([len(g) for g in grams])]).astype(np.int32)
-        flat = np.concatenate(grams) if grams else np.empty(0, dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([b["section"], b["kind"], b["id"], pa.array(texts), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["section", "kind", "id", "text", "grams"])
+        yield pa.RecordBatch.from_arrays([b["section"], b["kind"], b["id"], pa.array([content(t) for t in b["raw"].to_pylist()], pa.string())], ["section", "kind", "id", "text"])
+
+
+def _bitmaps(owner: np.ndarray, token: np.ndarray, rows: int) -> np.ndarray:
+    """Parity bitmaps: each sequence flips one bit of its row, so unlike bits of two rows are sequences of one of them only."""
+    with np.errstate(over="ignore"):
+        bit = (_mix(token) % np.uint64(BITS)).astype(np.int64)
+    return np.packbits((np.bincount(owner * BITS + bit, minlength=rows * BITS) & 1).astype(np.uint8).reshape(rows, BITS), axis=1)
+
+
+def _band_keys(b: pa.RecordBatch, bands: int, band_rows: int) -> tuple[np.ndarray, ...]:
+    """(row, key) of the bands of all rows that have sequences, and (owner, token) of these."""
+    owner, token = tokens(b["text"].to_pylist())
+    regs = prob_min_hash(token, owner, np.ones(len(token)), b.num_rows, bands * band_rows).reshape(b.num_rows, bands, band_rows)
+    sec = b["sec"].to_numpy(zero_copy_only=False).view(np.uint64)
+    with np.errstate(over="ignore"):
+        keys = _mix(sec[:, None] ^ (np.arange(1, bands + 1, dtype=np.uint64) << np.uint64(40))[None, :])  # a band's keys are its own, and a section's
+        for r in range(band_rows):
+            keys = _mix(keys ^ regs[:, :, r])
+    some = np.unique(owner)
+    return np.repeat(some, bands), keys[some].ravel(), owner, token
+
+
+def _prefixes(counts: np.ndarray, b: pa.RecordBatch, threshold: float) -> tuple[np.ndarray, ...]:
+    """(row, place, key, cell) of each row's rarest sequences, (owner, token) of all, and sizes; keys are a section's own."""
+    owner, token = tokens(b["text"].to_pylist())
+    sec = b["sec"].to_numpy(zero_copy_only=False).view(np.uint64)
+    cell = _cell(token)
+    order = np.lexsort((token, counts[cell], owner))  # one order for all rows, rare ones first
+    row, cell = owner[order], cell[order]
+    sizes = np.bincount(owner, minlength=b.num_rows)
+    place = np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]
+    first = place <= (sizes - np.ceil(threshold * sizes - 1e-9))[row]
+    with np.errstate(over="ignore"):
+        key = _mix(token[order][first] ^ sec[row[first]])
+    return row[first], place[first], key, cell[first], owner, token, sizes
+
 
+def _key_cells(how):  # noqa: ANN001, ANN202
+    """Counts of keys by cell, tables of fixed size."""
 
-def _signatures(idf, bands: int, band_rows: int):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = idf.value
-        for whole in batches:
-            for start in range(0, whole.num_rows, 2000):
-                b = whole.slice(start, 2000)
-                flat, owner = _flat(b["grams"])
-                regs = prob_min_hash(flat, owner, weights[_cell(flat)], b.num_rows, bands * band_rows).reshape(b.num_rows, bands, band_rows)
-                with np.errstate(over="ignore"):
-                    keys = np.tile(np.arange(1, bands + 1, dtype=np.uint64) << np.uint64(40), (b.num_rows, 1))  # a band's keys are its own
-                    for r in range(band_rows):
-                        keys = _mix(keys ^ regs[:, :, r])
-                some = np.zeros(b.num_rows, dtype=bool)
-                some[owner] = True
-                kept = keys[some].view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(kept) * bands + 1, bands, dtype=np.int32)), pa.array(kept.ravel()))
-                yield pa.RecordBatch.from_arrays([b["node"].filter(pa.array(some)), lists], ["node", "keys"])
+        counts = np.zeros(1 << DF_BITS, dtype=np.int64)
+        for b in _slices(batches, 500):
+            counts += np.bincount((how(b)[1] >> np.uint64(64 - DF_BITS)).astype(np.int64), minlength=1 << DF_BITS)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["cell", "n"])
 
     return run
 
 
-def bucket_pairs(keyed: DataFrame, small: int = SMALL_BUCKET, levels: int = 4) -> DataFrame:
-    """Pairs (a, b) of the nodes of `keyed` (node long, keys array<long>) that share a bucket, a < b, distinct.
+def _crowded(full, how):  # noqa: ANN001, ANN202
+    """(key, n, low) of keys in cells so full that they may be crowded; full(key, cell): which are."""
 
-    Buckets are sized by an aggregation that combines before it shuffles; only the rows of buckets of three and more are joined back.
-    """
-    slim = keyed.select("node", F.explode("keys").alias("key"))
-    sizes = slim.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).filter("n > 1")
-    sizes, _ = materialize(sizes, "p7-buckets")
-    found = sizes.filter("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    rows = slim.join(sizes.filter("n > 2").select("key", "n", "low"), "key")
-    for level in range(1, levels + 1):
-        crowded, _ = materialize(rows, "p7-crowded")
-        little = crowded.filter(F.col("n") <= small).select("key", "node")
-        found = found.unionAll(little.join(little.withColumnRenamed("node", "other"), "key").filter("node < other").select(F.col("node").alias("a"), F.col("other").alias("b")))
-        large = crowded.filter((F.col("n") > small) & (F.col("node") > F.col("low"))).select("key", "node", "low")
-        found = found.unionAll(large.select(F.col("low").alias("a"), F.col("node").alias("b")))
-        if level == levels or large.isEmpty():
-            break
-        # cut again by one more band of each row; the bucket's smallest row is linked to all the others already
-        deeper = large.join(keyed, "node").select(F.xxhash64("key", F.element_at("keys", F.pmod(F.col("key") + level, F.size("keys")).cast("int") + 1)).alias("key"), "node")
-        again = deeper.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low")).filter("n > 1")
-        rows = deeper.join(again, "key")
-    return found.distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches, 500):
+            row, key, cell = how(b)
+            some = full(key, cell)
+            order = np.argsort(key[some], kind="stable")
+            key, node = key[some][order], b["node"].to_numpy()[row[some][order]]
+            head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, dtype=np.int64)
+            low = np.minimum.reduceat(node, head) if len(head) else node
+            yield pa.RecordBatch.from_arrays([pa.array(key[head].view(np.int64)), pa.array(np.diff(np.r_[head, len(key)]).astype(np.int64)), pa.array(low)], ["key", "n", "low"])
 
+    return run
 
-def _prefixes(counts: np.ndarray, b: pa.RecordBatch, threshold: float) -> tuple[np.ndarray, ...]:
-    """(owner, place, key, cell) of each row's rarest sequences, and (owner, key) of all, (sizes); keys are a section's own."""
-    flat, owner = _flat(b["grams"])
+
+def _parted(b: pa.RecordBatch, row: np.ndarray, key: np.ndarray, place: np.ndarray, parts: int, sizes: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+    """Keys and places of each row by part, with what thins out its pairs."""
     with np.errstate(over="ignore"):
-        key = _mix(flat.astype(np.uint64) ^ b["sec"].to_numpy(zero_copy_only=False).view(np.uint64)[owner])
-    cell = _cell(flat)
-    order = np.lexsort((key, counts[cell], owner))  # one order for all rows, rare ones first
-    owner, key, cell = owner[order], key[order], cell[order]
-    sizes = np.bincount(owner, minlength=b.num_rows)
-    place = np.arange(len(owner)) - (np.cumsum(sizes) - sizes)[owner]
-    first = place <= (sizes - np.ceil(threshold * sizes - 1e-9))[owner]
-    return owner[first], place[first], key[first], cell[first], owner, key, sizes
+        part = (key % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((part, row))
+    row, place, key, part = row[order], place[order], key[order], part[order]
+    head = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (part[1:] != part[:-1])]) if len(row) else np.empty(0, dtype=np.int64)
+    ends, at = pa.array(np.r_[head, len(row)].astype(np.int32)), pa.array(row[head])
+    width = pa.array(np.arange(0, (len(head) + 1) * (BITS // 8), BITS // 8, dtype=np.int32))
+    bitmaps = pa.Array.from_buffers(pa.binary(), len(head), [None, width.buffers()[1], pa.py_buffer(bits[row[head]].tobytes())])
+    short = (key >> np.uint64(32)).astype(np.uint32).view(np.int32)  # equal halves of unlike keys bring some more pairs to compare
+    return pa.RecordBatch.from_arrays(
+        [pa.array(part[head]), b["node"].take(at), b["comp"].take(at), b["kind"].take(at), pa.array(sizes[row[head]].astype(np.int32)), bitmaps, pa.ListArray.from_arrays(ends, pa.array(short)), pa.ListArray.from_arrays(ends, pa.array(place.astype(np.int16 if place.max(initial=0) < 32768 else np.int32)).cast(pa.int32()))],
+        ["part", "node", "comp", "kind", "size", "bits", "keys", "places"],
+    )
+
+
+POSTED = "part long, node long, comp long, kind long, size int, bits binary, keys array<int>, places array<int>"
+
+
+def _band_postings(crowded, parts: int, bands: int, band_rows: int):  # noqa: ANN001, ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = crowded.value
+        for b in _slices(batches, 500):
+            row, key, owner, token = _band_keys(b, bands, band_rows)
+            if len(hot):
+                cold = ~np.isin(key, hot)
+                row, key = row[cold], key[cold]
+            yield _parted(b, row, key, np.zeros(len(row), dtype=np.int64), parts, np.bincount(owner, minlength=b.num_rows), _bitmaps(owner, token, b.num_rows))
+
+    return run
 
 
-def _crowded(counts, block: int, threshold: float):  # noqa: ANN001, ANN202
-    """Rarest sequences in cells so full that they may need blocks."""
+def _hot_links(hot, low, bands: int, band_rows: int):  # noqa: ANN001, ANN202
+    """Links of the rows of crowded buckets to the smallest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 2000):
-                _, _, key, cell, *_ = _prefixes(counts.value, whole.slice(start, 2000), threshold)
-                keys, n = np.unique(key[counts.value[cell] > block], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+        for b in _slices(batches, 500):
+            row, key, *_ = _band_keys(b, bands, band_rows)
+            at = np.minimum(np.searchsorted(hot.value, key), len(hot.value) - 1)
+            hit = hot.value[at] == key
+            pairs = np.unique(np.column_stack([low.value[at[hit]], b["node"].to_numpy()[row[hit]]]), axis=0)
+            pairs = pairs[pairs[:, 0] < pairs[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
 
     return run
 
 
-def _postings(counts, crowded, parts: int, threshold: float):  # noqa: ANN001, ANN202
+def _prefix_postings(counts, crowded, parts: int, threshold: float):  # noqa: ANN001, ANN202
     """Each row's rarest sequences by part, with its bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, blocks = crowded.value
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                b = whole.slice(start, 1000)
-                owner, place, key, _, every, keys, sizes = _prefixes(counts.value, b, threshold)
+        for b in _slices(batches, 1000):
+            row, place, key, _, owner, token, sizes = _prefixes(counts.value, b, threshold)
+            if len(hot):
+                # a crowded sequence goes to all pairs of its blocks that the row's own block is in
+                at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+                n = np.where(hot[at] == key, blocks[at], 1)
                 with np.errstate(over="ignore"):
-                    bit = (_mix(keys) % np.uint64(BITS)).astype(np.int64)
-                    bits = np.packbits((np.bincount(every * BITS + bit, minlength=b.num_rows * BITS) & 1).astype(np.uint8).reshape(b.num_rows, BITS), axis=1)
-                    if len(hot):
-                        # a crowded sequence goes to all pairs of its blocks that the row's own block is in
-                        at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
-                        n = np.where(hot[at] == key, blocks[at], 1)
-                        own = (_mix(b["node"].to_numpy().view(np.uint64))[owner] % n.astype(np.uint64)).astype(np.int64)
-                        times = np.maximum(n - 1, 1)
-                        at = np.repeat(np.arange(len(key)), times)
-                        other = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-                        other += (other >= own[at]) & (n[at] > 1)
-                        pair = np.minimum(own[at], other) * n[at] + np.maximum(own[at], other)
-                        owner, place, key = owner[at], place[at], np.where(n[at] > 1, _mix(key[at] ^ _mix(pair.astype(np.uint64))), key[at])
-                    part = (_mix(key) % np.uint64(parts)).astype(np.int64)
-                order = np.lexsort((part, owner))
-                owner, place, key, part = owner[order], place[order], key[order], part[order]
-                head = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])]) if len(owner) else np.empty(0, dtype=np.int64)
-                ends = pa.array(np.r_[head, len(owner)].astype(np.int32))
-                row = pa.array(owner[head])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part[head]), b["node"].take(row), b["comp"].take(row), b["kind"].take(row), pa.array(sizes[owner[head]]), pa.array([x.tobytes() for x in bits[owner[head]]], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(key.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(place.astype(np.int32)))],
-                    ["part", "node", "comp", "kind", "size", "bits", "keys", "places"],
-                )
+                    own = (_mix(b["node"].to_numpy().view(np.uint64))[row] % n.astype(np.uint64)).astype(np.int64)
+                    times = np.maximum(n - 1, 1)
+                    at = np.repeat(np.arange(len(key)), times)
+                    other = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+                    other += (other >= own[at]) & (n[at] > 1)
+                    pair = np.minimum(own[at], other) * n[at] + np.maximum(own[at], other)
+                    row, place, key = row[at], place[at], np.where(n[at] > 1, _mix(key[at] ^ _mix(pair.astype(np.uint64))), key[at])
+            yield _parted(b, row, key, place, parts, sizes, _bitmaps(owner, token, b.num_rows))
 
     return run
 
 
-def _meet(threshold: float):  # noqa: ANN202
-    """Pairs of a part that share a rare sequence, are of several groups and may be alike by size, place and bitmap."""
+class _Part:
+    """The rows of a part and the tests that thin out their pairs."""
 
-    def run(t: pa.Table) -> pa.Table:
+    def __init__(self, t: pa.Table, threshold: float) -> None:
         t = t.combine_chunks()
-        node, comp, size = (t[c].to_numpy() for c in ("node", "comp", "size"))
-        single = t["kind"].is_valid().to_numpy()
-        kind = t["kind"].fill_null(0).to_numpy()
-        bits = np.frombuffer(b"".join(t["bits"].to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
-        key, row = _flat(t["keys"].combine_chunks())
-        place, _ = _flat(t["places"].combine_chunks())
-        order = np.lexsort((comp[row], key))
-        key, row, place = key[order], row[order], place[order]
-        n, here = len(key), np.arange(len(key))
-        fresh = np.r_[True, key[1:] != key[:-1]]
-        change = fresh | np.r_[True, comp[row[1:]] != comp[row[:-1]]]
-        # a row meets all rows of its sequence that stand after its own group
-        begin = np.r_[np.flatnonzero(change), n][np.cumsum(change)]
-        end = np.r_[np.flatnonzero(fresh), n][np.cumsum(fresh)]
-        todo = end - begin
-        found = [np.empty((0, 2), dtype=np.int64)]
-        i, done = 0, np.cumsum(todo)
-        split = 0  # partners of row i that are compared already
-        while i < n:
+        self.threshold = threshold
+        self.node, self.comp, self.size = t["node"].to_numpy(), t["comp"].to_numpy(), t["size"].to_numpy().astype(np.int64)
+        self.single = t["kind"].is_valid().to_numpy()
+        self.kind = t["kind"].fill_null(0).to_numpy()
+        self.bits = np.frombuffer(b"".join(t["bits"].to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
+        lists = t["keys"].combine_chunks()
+        self.key = pc.list_flatten(lists).to_numpy(zero_copy_only=False)
+        self.row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.place = pc.list_flatten(t["places"].combine_chunks()).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.found = [np.empty((0, 2), dtype=np.int64)]
+
+    def least(self, both: np.ndarray) -> np.ndarray:
+        """Sequences that two alike rows share at least, by the sum of their sizes."""
+        return np.ceil(self.threshold / (1 + self.threshold) * both - 1e-9)
+
+    def compare(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Keep the pairs of entries (of key, row, place) that may be alike."""
+        a, b = self.row[x], self.row[y]
+        size, rest_a, rest_b = self.size, self.size[a] - self.place[x], self.size[b] - self.place[y]
+        both = size[a] + size[b]
+        least = self.least(both)
+        ok = np.flatnonzero((self.comp[a] != self.comp[b]) & (np.minimum(rest_a, rest_b) >= least) & (np.minimum(size[a], size[b]) >= least))
+        a, b, both, least = a[ok], b[ok], both[ok], least[ok]
+        ok = np.bitwise_count(self.bits[a] ^ self.bits[b]).sum(axis=1, dtype=np.int64) <= both - 2 * least
+        ok &= ~(self.single[a] & self.single[b] & (self.kind[a] == self.kind[b]))
+        if ok.any():
+            self.found.append(np.unique(np.sort(np.column_stack([self.node[a[ok]], self.node[b[ok]]]), axis=1), axis=0))
+
+    def ranges(self, x: np.ndarray, begin: np.ndarray, many: np.ndarray, entries: np.ndarray) -> None:
+        """Compare each entry x with entries[begin : begin + many], so many pairs at a time."""
+        done, i, split = np.cumsum(many), 0, 0  # split: partners of entry i that are compared already
+        while i < len(x):
             base = (done[i - 1] if i else 0) + split
             last = int(np.searchsorted(done, base + AT_ONCE, side="right"))
-            if last <= i:  # the partners of one row in pieces
-                x, y = np.full(AT_ONCE, i), begin[i] + split + np.arange(AT_ONCE)
+            if last <= i:  # the partners of one entry in pieces
+                self.compare(np.full(AT_ONCE, x[i]), entries[begin[i] + split + np.arange(AT_ONCE)])
                 split += AT_ONCE
-            else:
-                many = todo[i:last].copy()
-                many[0] -= split
-                x = np.repeat(here[i:last], many)
-                first = begin[i:last].copy()
-                first[0] += split
-                y = np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
-                i, split = last, 0
-            a, b = row[x], row[y]
-            both = size[a] + size[b]
-            least = np.ceil(threshold / (1 + threshold) * both - 1e-9)
-            ok = (np.minimum(size[a], size[b]) >= least) & (np.minimum(size[a] - place[x], size[b] - place[y]) >= least)
-            a, b, both, least = a[ok], b[ok], both[ok], least[ok]
-            ok = ~(single[a] & single[b] & (kind[a] == kind[b]))
-            ok &= np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= both - 2 * least
-            if ok.any():
-                found.append(np.unique(np.sort(np.column_stack([node[a[ok]], node[b[ok]]]), axis=1), axis=0))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"a": pa.array(np.ascontiguousarray(pairs[:, 0])), "b": pa.array(np.ascontiguousarray(pairs[:, 1]))})
+                continue
+            n, first = many[i:last].copy(), begin[i:last].copy()
+            n[0], first[0] = n[0] - split, first[0] + split
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            self.compare(np.repeat(x[i:last], n), entries[np.repeat(first, n) + step])
+            i, split = last, 0
+
+    def pairs(self) -> pa.Table:
+        out = np.unique(np.concatenate(self.found), axis=0)
+        return pa.table({"a": pa.array(np.ascontiguousarray(out[:, 0])), "b": pa.array(np.ascontiguousarray(out[:, 1]))})
+
+
+def _buckets(threshold: float):  # noqa: ANN202
+    """Pairs of the buckets of a part: all of small ones, links to the smallest node of larger ones."""
+
+    def run(t: pa.Table) -> pa.Table:
+        p = _Part(t, threshold)
+        order = np.lexsort((p.node[p.row], p.key))
+        key = p.key[order]
+        fresh = np.r_[True, key[1:] != key[:-1]] if len(key) else np.empty(0, dtype=bool)
+        head = np.flatnonzero(fresh)
+        number = np.diff(np.r_[head, len(key)])
+        run_of = np.cumsum(fresh) - 1
+        here = np.arange(len(key))
+        little = number[run_of] <= SMALL_BUCKET
+        inner = np.flatnonzero(little & (here + 1 < (head + number)[run_of]))
+        p.ranges(order[inner], inner + 1, (head + number)[run_of[inner]] - inner - 1, order)
+        outer = np.flatnonzero(~little & ~fresh)
+        p.ranges(order[outer], head[run_of[outer]], np.ones(len(outer), dtype=np.int64), order)
+        return p.pairs()
+
+    return run
+
+
+def _meet(threshold: float):  # noqa: ANN202
+    """Pairs of a part that share a rare sequence, are of several groups and may be alike by size, place and bitmap.
+
+    A row meets the rows of its sequence that are no larger, and only those of sizes, and with the sequence at such a place, that allow for the
+    similarity. Where few rows of a sequence are outside one group, they meet the rows of other groups instead.
+    """
+    share = 1 - 2 * threshold / (1 + threshold)  # of a row's sequences that it can share first with a larger one
+
+    def run(t: pa.Table) -> pa.Table:
+        p = _Part(t, threshold)
+        n = len(p.key)
+        size = p.size[p.row]
+        order = np.lexsort((size, p.key))
+        key = p.key[order]
+        fresh = np.r_[True, key[1:] != key[:-1]] if n else np.empty(0, dtype=bool)
+        runs = np.cumsum(fresh) - 1
+        size, place = size[order], p.place[order]
+        span = np.int64(size.max(initial=0) + 2)
+        held = np.flatnonzero(place <= share * size + 1e-9)  # entries that a larger row may share first
+        sorted_held = runs[held] * span + size[held]
+        top = np.minimum(size, np.floor((size - place) * (1 + threshold) / threshold + 1e-9) - size).astype(np.int64)
+        low = np.ceil(threshold * size - 1e-9).astype(np.int64)
+        begin = np.searchsorted(sorted_held, runs * span + np.minimum(low, span - 1), side="left")
+        end = np.searchsorted(sorted_held, runs * span + np.clip(top, -1, span - 1), side="right")
+        many = np.where(top >= low, np.maximum(end - begin, 0), 0)
+        # the other way: by group
+        by_comp = np.lexsort((p.comp[p.row], p.key))
+        comp = p.comp[p.row[by_comp]]
+        change = fresh | np.r_[True, comp[1:] != comp[:-1]] if n else fresh
+        own_end = np.r_[np.flatnonzero(change), n][np.cumsum(change)] if n else change
+        run_end = np.r_[np.flatnonzero(fresh), n][np.cumsum(fresh)] if n else change
+        other = run_end - own_end
+        fewer = np.bincount(runs, weights=other) < np.bincount(runs, weights=many) if n else np.empty(0, dtype=bool)
+        x = np.flatnonzero(~fewer[runs] & (many > 0)) if n else np.empty(0, dtype=np.int64)
+        p.ranges(order[x], begin[x], many[x], order[held])
+        x = np.flatnonzero(fewer[runs] & (other > 0)) if n else x
+        p.ranges(by_comp[x], own_end[x], other[x], by_comp)
+        return p.pairs()
 
     return run
 
 
-def missed_pairs(nodes: DataFrame, counts: np.ndarray, *, threshold: float = ALIKE, block: int | None = None) -> DataFrame:
-    """Pairs (a, b), a < b, distinct, among which is every alike pair of different groups; nodes: (node, sec, comp, kind, grams).
+def _cells(df: DataFrame) -> np.ndarray:
+    """Sums of (cell, n) as a table of fixed size."""
+    counts = np.zeros(1 << DF_BITS)
+    got = df.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most 2 ** DF_BITS rows
+    counts[got["cell"].to_numpy()] = got["n"].to_numpy()
+    return counts
+
+
+def band_pairs(nodes: DataFrame, total: int, *, threshold: float, bands: int, band_rows: int, block: int) -> DataFrame:
+    """Pairs (a, b) of nodes that share a bucket of some band and may be alike, a < b, distinct; nodes: (node, sec, comp, kind, text)."""
+    sc = nodes.sparkSession.sparkContext
+    hot, low = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+    if total > block:  # no bucket can be crowded otherwise
+        cells = sc.broadcast(_cells(nodes.mapInArrow(_key_cells(lambda b: _band_keys(b, bands, band_rows)), "cell long, n long")))
+
+        def how(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+            row, key, *_ = _band_keys(b, bands, band_rows)
+            return row, key, (key >> np.uint64(64 - DF_BITS)).astype(np.int64)
+
+        if cells.value.max() > block:
+            full = nodes.mapInArrow(_crowded(lambda key, cell: cells.value[cell] > block, how), "key long, n long, low long").groupBy("key").agg(F.sum("n").alias("n"), F.min("low").alias("low")).filter(F.col("n") > block).toArrow()  # no more keys than bands x rows / block
+            order = np.argsort(full["key"].to_numpy().view(np.uint64))
+            hot, low = full["key"].to_numpy().view(np.uint64)[order], full["low"].to_numpy()[order]
+    parts = max(1, total * bands // PART)
+    held = sc.broadcast(hot)
+    found = nodes.mapInArrow(_band_postings(held, parts, bands, band_rows), POSTED).groupBy("part").applyInArrow(_buckets(threshold), "a long, b long")
+    if len(hot):
+        found = found.unionAll(nodes.mapInArrow(_hot_links(held, sc.broadcast(low), bands, band_rows), "a long, b long"))
+    return found.distinct()
+
+
+def missed_pairs(nodes: DataFrame, *, threshold: float = ALIKE, block: int | None = None) -> DataFrame:
+    """Pairs (a, b), a < b, distinct, among which is every alike pair of different groups; nodes: (node, sec, comp, kind, text).
 
     kind: the formatting class if the node has one only, else null; nodes of one class are no links.
     """
     sc, block = nodes.sparkSession.sparkContext, block or BLOCK
+    counts = _cells(nodes.select("text").mapInArrow(_df_counts, "cell long, n long"))
     held = sc.broadcast(counts)
     hot = {}
     if counts.max(initial=0) > block:
+
+        def how(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+            row, _, key, cell, *_ = _prefixes(held.value, b, threshold)
+            return row, key, cell
+
         # no more sequences than rows' rarest ones divided by the block
-        full = nodes.select("sec", "grams").mapInArrow(_crowded(held, block, threshold), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > block)
+        full = nodes.mapInArrow(_crowded(lambda key, cell: held.value[cell] > block, how), "key long, n long, low long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > block)
         hot = {r["key"]: max(2, -(-r["n"] // block)) for r in full.toLocalIterator()}
     keys = np.sort(np.array(list(hot), dtype=np.int64).view(np.uint64))
     blocks = np.array([hot[int(k)] for k in keys.view(np.int64)], dtype=np.int64)
     parts = max(1, int(((1 - threshold) * counts.sum()) // PART))
-    posted = nodes.select("node", "sec", "comp", "kind", "grams").mapInArrow(_postings(held, sc.broadcast((keys, blocks)), parts, threshold), "part long, node long, comp long, kind long, size long, bits binary, keys array<long>, places array<int>")
-    return posted.groupBy("part").applyInArrow(_meet(threshold), "a long, b long").distinct()
+    return nodes.mapInArrow(_prefix_postings(held, sc.broadcast((keys, blocks)), parts, threshold), POSTED).groupBy("part").applyInArrow(_meet(threshold), "a long, b long").distinct()
 
 
 def alike_nodes(nodes: DataFrame, *, threshold: float = ALIKE, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
-    """Pairs (a, b) of distinct contents whose shingle sets are alike, all that join groups; nodes: (node long, section, kind, grams), kind null if several."""
-    spark = nodes.sparkSession
+    """Pairs (a, b) of distinct contents whose shingle sets are alike, all that join groups; nodes: (node long, section, kind, text), kind null if several."""
     total = nodes.count()
-    counts = np.zeros(1 << DF_BITS)
-    for r in nodes.select("grams").mapInArrow(_df_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():  # at most 2 ** DF_BITS rows
-        counts[r["cell"]] = r["n"]
-    weights = np.log((total + 1.0) / np.minimum(np.maximum(counts, 1), total + 0.5)) + 0.05
-    keyed, _ = materialize(nodes.select("node", "grams").mapInArrow(_signatures(spark.sparkContext.broadcast(weights), bands, band_rows), "node long, keys array<long>"), "p7-keys")
-    pairs, _ = materialize(bucket_pairs(keyed), "p7-candidates")
+    keyed = nodes.select("node", F.xxhash64("section").alias("sec"), F.col("node").alias("comp"), "kind", "text")
+    pairs, _ = materialize(band_pairs(keyed, total, threshold=threshold, bands=bands, band_rows=band_rows, block=BLOCK), "p7-candidates")
     near, _ = materialize(verified(pairs, nodes, threshold), "p7-near")
     # nodes of one kind only that they share are no link, so their pairs join no groups
-    links = near.join(nodes.select(F.col("node").alias("a"), F.col("kind").alias("ka")), "a").join(nodes.select(F.col("node").alias("b"), F.col("kind").alias("kb")), "b").filter("ka is null or kb is null or ka <> kb").select("a", "b")
-    groups = components(links, member="node", group="comp")
-    grouped = nodes.join(groups, "node", "left").select("node", F.xxhash64("section").alias("sec"), F.coalesce("comp", "node").alias("comp"), "kind", "grams")
-    rest, _ = materialize(missed_pairs(grouped, counts, threshold=threshold), "p7-rest")
-    return near.unionAll(verified(rest, nodes, threshold))
+    groups = components(near.filter("ka is null or kb is null or ka <> kb").select("a", "b"), member="node", group="comp")
+    grouped, _ = materialize(keyed.drop("comp").join(groups, "node", "left").select("node", "sec", F.coalesce("comp", "node").alias("comp"), "kind", "text"), "p7-grouped")
+    rest, _ = materialize(missed_pairs(grouped, threshold=threshold), "p7-rest")
+    return near.select("a", "b").unionAll(verified(rest, nodes, threshold).select("a", "b"))
+
+
+def _alike(threshold: float):  # noqa: ANN202
+    """The rows whose texts (ta, tb) have alike sets, compared exactly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b["ta"].to_pylist(), b["tb"].to_pylist()):
+                x, y = shingles(x), shingles(y)  # noqa: PLW2901
+                shared = len(x) + len(y) - len(np.union1d(x, y))
+                # compared as whole numbers of a fraction: shared / union >= threshold
+                keep.append(shared >= threshold * (len(x) + len(y) - shared) - 1e-9 and shared > 0)
+            yield b.filter(pa.array(keep, pa.bool_())).drop_columns(["ta", "tb"]) if b.num_rows else b.drop_columns(["ta", "tb"])
+
+    return run
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose sets are alike."""
-    side = nodes.select("node", "section", "grams")
-    met = pairs.join(side.withColumnsRenamed({"node": "a", "grams": "ga", "section": "sa"}), "a").join(side.withColumnsRenamed({"node": "b", "grams": "gb", "section": "sb"}), "b").filter("sa = sb")
-    shared = F.size(F.array_intersect("ga", "gb"))
-    # compared as whole numbers of a fraction: shared / union >= threshold
-    return met.withColumn("shared", shared).filter(F.col("shared") >= threshold * (F.size("ga") + F.size("gb") - F.col("shared")) - 1e-9).select("a", "b")
+    """(a, b, ka, kb): the pairs whose sets are alike, with the kinds of both."""
+    few = pairs.count() <= SENT
+    side = nodes.select("node", "section", "kind", "text")
+    met = side.withColumnsRenamed({"node": "a", "text": "ta", "section": "sa", "kind": "ka"}).join(F.broadcast(pairs) if few else pairs, "a")
+    met = side.withColumnsRenamed({"node": "b", "text": "tb", "section": "sb", "kind": "kb"}).join(met, "b").filter("sa = sb")
+    return met.select("a", "b", "ka", "kb", "ta", "tb").mapInArrow(_alike(threshold), "a long, b long, ka long, kb long")
 
 
 def choice_contents(spark: SparkSession, folder: str) -> DataFrame:
@@ -342,11 +495,11 @@ def choice_contents(spark: SparkSession, folder: str) -> DataFrame:
 
 def alike_groups(rows: DataFrame, **how) -> DataFrame:  # noqa: ANN003
     """(id, group_id) of the rows (section, kind, id, raw) alike to another one of another kind."""
-    made, _ = materialize(rows.mapInArrow(_content_rows, "section string, kind long, id string, text string, grams array<long>"), "p7-rows")
-    keyed = made.filter("text <> ''").withColumn("c", F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))).drop("text")
+    made = rows.select("section", "kind", "id", "raw").mapInArrow(_content_rows, "section string, kind long, id string, text string").filter("text <> ''")
+    made, _ = materialize(made.withColumn("c", F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))), "p7-rows")
     # one numbered node per distinct content of a section
-    named, _ = materialize(keyed.groupBy("section", "c").agg(F.first("grams").alias("grams"), F.when(F.min("kind") == F.max("kind"), F.min("kind")).alias("kind")).withColumn("node", F.monotonically_increasing_id()), "p7-nodes")
-    nodes = named.select("node", "section", "kind", "grams")
+    named, _ = materialize(made.groupBy("section", "c").agg(F.first("text").alias("text"), F.when(F.min("kind") == F.max("kind"), F.min("kind")).alias("kind")).withColumn("node", F.monotonically_increasing_id()), "p7-nodes")
+    nodes, keyed = named.select("node", "section", "kind", "text"), made
     pairs, _ = materialize(alike_nodes(nodes, **how), "p7-pairs")
     # a member of the graph is a (node, kind); rows of one member are copies of each other
     placed_ids, _ = materialize(keyed.select("section", "c", "kind", "id").join(named.select("section", "c", "node"), ["section", "c"]).select("node", "kind", "id"), "p7-ids")
@@ -371,4 +524,29 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p7_found": p7_found}
-ORACLE: dict[str, str] = {}
+
+
+def _even_width() -> tuple[str, str]:
+    """Characters whose compatibility form is one other character, and these."""
+    pairs = [(chr(c), unicodedata.normalize("NFKC", chr(c))) for c in range(0xA0, 0x10000) if not 0xD800 <= c < 0xE000]
+    pairs = [(a, b) for a, b in pairs if a != b and len(b) == 1 and a != "'" and b != "'"]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_BARE_SQL = r"lower(regexp_replace({}, '[^\p{{L}}\p{{N}}]+', '', 'g'))"
+_TEXTS = "list_transform(choices, lambda x: coalesce(x.text, ''))"
+ORACLE = {
+    "p7_found": (
+        "WITH RECURSIVE c AS (SELECT id, min(struct_pack(s := coalesce(section, 'am2'), k := CASE WHEN text IS NOT NULL AND len(choices) = 4 THEN " + _BARE_SQL.format("text") + " || chr(1) || array_to_string(list_sort(list_transform(" + _TEXTS + ", lambda x: " + _BARE_SQL.format("x") + ")), chr(1)) ELSE chr(2) || id END,"
+        " raw := coalesce(text, '') || array_to_string(" + _TEXTS + ", ''))) AS r FROM questions WHERE id IS NOT NULL AND choices IS NOT NULL GROUP BY id),"
+        " t AS (SELECT id, r.s AS s, r.k AS k, " + _BARE_SQL.format("nfc_normalize(translate(r.raw, '{}', '{}'))".format(*_even_width())) + " AS x FROM c),"
+        " g AS (SELECT DISTINCT id, s, substr(x, i, 3) AS g FROM (SELECT id, s, x, unnest(range(1, len(x) - 1)) AS i FROM t WHERE len(x) > 2)),"
+        " n AS (SELECT id, count(*) AS n FROM g GROUP BY id),"
+        " m AS (SELECT a.id AS a, b.id AS b, count(*) AS m FROM g a JOIN g b ON a.s = b.s AND a.g = b.g AND a.id < b.id GROUP BY a.id, b.id),"
+        " l AS (SELECT a, b FROM m JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE m >= 0.6 * (p.n + q.n - m) UNION SELECT a.id, b.id FROM t a JOIN t b ON a.s = b.s AND a.x = b.x AND a.id < b.id WHERE a.x <> ''),"
+        " k AS (SELECT a, b FROM l JOIN t p ON p.id = a JOIN t q ON q.id = b WHERE p.k <> q.k),"
+        " e AS (SELECT a, b FROM k UNION SELECT b, a FROM k),"
+        " r(id, o) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.o FROM r JOIN e ON e.a = r.id WHERE r.o < e.b)"
+        " SELECT e.a AS id, least(e.a, min(r.o)) AS group_id FROM (SELECT DISTINCT a FROM e) e JOIN r ON r.id = e.a GROUP BY e.a"
+    )
+}

@@ -109,3 +109,29 @@ def test_links_within_crowded_buckets(spark, monkeypatch, block):
     want = brute(rows)
     assert len(want) >= 60
     assert {r["id"]: r["group_id"] for r in M.alike_groups(spark.createDataFrame(rows, SCHEMA), bands=1, band_rows=1).collect()} == want
+
+
+@pytest.mark.parametrize("share", [0.16, 0.19, 0.22])
+def test_template_families(spark, share):
+    """Records of one text, every word replaced with a probability: no link may be missing."""
+    rng = random.Random(int(share * 100))
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    base = [word() for _ in range(40)]
+    rows = [("a", n, f"q{n:04}", " ".join(word() if rng.random() < share else w for w in base)) for n in range(1200)]
+    sets = [M.shingles(M.content(r[3])) for r in rows]
+    vocabulary = np.unique(np.concatenate(sets))
+    held = np.zeros((len(rows), len(vocabulary)), dtype=np.float32)
+    for i, g in enumerate(sets):
+        held[i, np.searchsorted(vocabulary, g)] = 1
+    shared, size = held @ held.T, held.sum(1)
+    alike = shared >= 0.6 * (size[:, None] + size[None, :] - shared) - 1e-6
+    np.fill_diagonal(alike, False)
+    group = np.arange(len(rows))
+    for _ in range(len(rows)):
+        following = np.minimum(group, np.where(alike, group[None, :], len(rows)).min(axis=1))
+        if (following == group).all():
+            break
+        group = following
+    want = {rows[i][2]: rows[group[i]][2] for i in np.flatnonzero(alike.any(axis=1))}
+    assert len(want) > 100
+    assert {r["id"]: r["group_id"] for r in M.alike_groups(spark.createDataFrame(rows, SCHEMA)).collect()} == want
