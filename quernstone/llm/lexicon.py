@@ -178,6 +178,30 @@ class Encoder:
         return np.array(offsets, dtype=np.int64), np.frombuffer(flat, dtype=np.int32) if len(flat) else np.empty(0, dtype=np.int32)
 
 
+def pieces(text: str) -> list[str] | None:
+    """The pre-tokenizer's cuts, None where libraries differ on them. All byte-level vocabularies here share one pre-tokenizer."""
+    return None if _ODD.search(text) else _CUT.findall(text)
+
+
+class Counts:
+    """Numbers of ids of texts, from those of their pieces, with a bounded memory of pieces."""
+
+    def __init__(self, name: str, folder: str, remember: int = 500_000) -> None:
+        self.ranks, self.known, self.remember = encoding(name, folder), {}, remember
+
+    def counts(self, texts: list[str | None], cuts: list[list[str] | None]) -> np.ndarray:
+        """The number of ids of each text, given its pieces (None: cut by the tokenizer's own library)."""
+        if len(self.known) > self.remember:
+            self.known.clear()
+        merge, known = self.ranks._core_bpe.encode_single_piece, self.known
+        for c in cuts:
+            for p in c or ():
+                if p not in known:
+                    known[p] = len(merge(p.encode()))
+        get = known.__getitem__
+        return np.array([sum(map(get, c)) if c is not None else len(self.ranks.encode_ordinary(t)) for t, c in zip(texts, cuts)], dtype=np.int64)
+
+
 def tokenizer_folder(spark: SparkSession) -> str:
     """Where the vocabularies are."""
     return spark.conf.get(SETTING, TOKENIZERS)

@@ -2,10 +2,13 @@
 
 Sizes are the texts' tokens. Their histogram (never longer than the capacity) decides everything; items stay distributed:
 1. Texts over the capacity are cut into full containers and a rest; no other text is split.
-2. Large sizes are grouped linearly into classes of about equal counts. The linear program over configurations (multisets of classes that
-   fit) is solved by multiplicative weights; each round prices by knapsack dynamic programming.
-3. The fractional solution is rounded down; the classes' slots take exact sizes, run by run, so the space left is known exactly.
-4. What remains, and all small sizes, go by decreasing size into the fullest container that has room, whole runs at a time.
+2. All but the smallest sizes are grouped into classes of neighbouring sizes. The linear program over configurations (multisets of classes that
+   fit) is solved by multiplicative weights: a class's dual is its size times a weight that falls with its coverage, and each round prices by
+   knapsack dynamic programming.
+3. Each round's configuration is rounded down to whole containers, a small share of what the scarcest class in it has left; slots
+   take exact sizes, run by run, so the space left is known exactly. Rounds go on until few items are left.
+4. What remains, and all smallest sizes, go by decreasing size into the fullest container that has room, whole runs at a time.
+5. Best fit alone is tried as well and kept only where it needs fewer containers. The duals give a lower bound for any packing.
 The plan is a list of runs: of the items of one size, ranks from..to go to consecutive containers at one place. Ranks come from
 counts per (size, hash slice), so one size may hold any share of the rows.
 
@@ -15,7 +18,7 @@ other item they get container 0. container and place count from 0 within a pack;
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,55 +27,92 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quernstone.llm.lexicon import encoding, tokenizer_folder
+from quernstone.llm.lexicon import Counts, pieces, tokenizer_folder
 from quernstone.session import materialize, table
 
-#: Classes of large sizes, rounds of the multiplicative weights, their step, cells of the knapsack, slices for ranks at least.
-CLASSES, ROUNDS, STEP, CELLS, SLICES = 40, 160, 0.35, 1024, 64
+#: Classes of sizes, rounds, share of the scarcest class that a round takes, fall of a weight with coverage, cells of the knapsack, slices for ranks at least.
+CLASSES, ROUNDS, SHARE, FALL, CELLS, SLICES = 128, 400, 0.5, 0.5, 2048, 64
 #: Documents for each further slice, so that the most frequent size never fills one task.
 SLICE_ROWS = 1_000_000
-#: Sizes up to this share of the capacity are small.
-SMALL = 1 / 12
+#: Sizes up to this share of the capacity are smallest ones, and the share of the others at which the rounds end.
+SMALL, ENOUGH = 1 / 12, 0.08
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
-    """A near-optimal fractional solution of the covering program: configurations (count of each class) with their weights.
-
-    sizes: the class sizes; demand: the items of each class. Duals fall with the coverage they get; each round's
-    configuration is the most valuable one by the duals (unbounded knapsack over `CELLS` cells, sizes rounded up).
-    """
-    classes = len(sizes)
-    cells = min(CELLS, capacity)
-    need = np.maximum(1, -(-sizes * cells // capacity)).astype(np.int64)
-    fits = int(cells // need.min())
-    weight, cover, made = np.ones(classes), np.zeros(classes), {}
-    guess = max(1.0, float((sizes * demand).sum()) / capacity)
+def price(need: np.ndarray, value: np.ndarray, cells: int) -> tuple[float, np.ndarray]:
+    """(value, count of each class) of the most valuable configuration: an unbounded knapsack over `cells` cells."""
     order = np.argsort(need, kind="stable")
-    sorted_need = need[order]
-    upto = np.searchsorted(sorted_need, np.arange(cells + 1), side="right")
-    for _ in range(ROUNDS):
-        value = (weight / demand)[order]
-        best, pick = np.zeros(cells + 1), np.full(cells + 1, -1)
-        for c in range(int(sorted_need[0]), cells + 1):
-            k = upto[c]
-            gains = best[c - sorted_need[:k]] + value[:k]
-            j = int(gains.argmax())
-            best[c], pick[c] = gains[j], j
-        taken = np.zeros(classes, dtype=np.int64)
-        c = cells
-        while c > 0 and pick[c] >= 0:
-            j = pick[c]
-            taken[order[j]] += 1
-            c -= int(sorted_need[j])
-        key = taken.tobytes()
-        made[key] = (taken, made.get(key, (taken, 0))[1] + 1)
-        share = guess * taken / demand  # coverage, were all containers filled so
-        cover += share / ROUNDS
-        weight *= np.exp(-STEP * share / max(share.max(), 1.0))
-        weight /= weight.max()
-        weight = np.maximum(weight, 1e-12)
-    scale = guess / ROUNDS / max(1e-9, min(1.0, float(cover.max())) if fits else 1.0)
-    return [(taken, n * scale) for taken, n in made.values()]
+    need, value = need[order], value[order]
+    upto = np.searchsorted(need, np.arange(cells + 1), side="right")
+    best, pick = np.zeros(cells + 1), np.full(cells + 1, -1)
+    for c in range(int(need[0]), cells + 1):
+        k = upto[c]
+        gains = best[c - need[:k]] + value[:k]
+        j = int(gains.argmax())
+        best[c], pick[c] = gains[j], j
+    taken, c = np.zeros(len(need), dtype=np.int64), cells
+    while c > 0 and pick[c] >= 0:
+        taken[order[pick[c]]] += 1
+        c -= int(need[pick[c]])
+    return float(best[cells]), taken
+
+
+def bound(sizes: np.ndarray, demand: np.ndarray, value: np.ndarray, capacity: int) -> float:
+    """Containers that any packing of the items needs at least: by weak duality, with sizes rounded down to cells."""
+    cells = min(CELLS, capacity)
+    need = np.maximum(1, sizes * cells // capacity).astype(np.int64)
+    return float((value * demand).sum()) / max(price(need, value, cells)[0], 1e-300)
+
+
+class Stock:
+    """Items left by size, in classes of neighbouring sizes of about equal numbers of items."""
+
+    def __init__(self, histogram: dict[int, int]) -> None:
+        self.left = dict(histogram)
+        self.sizes = sorted(histogram)
+        per, held, self.tops = sum(histogram.values()) / CLASSES, 0.0, []
+        for size in self.sizes:
+            held += histogram[size]
+            if held >= per or len(self.sizes) <= CLASSES:
+                self.tops.append(size)
+                held = 0.0
+        if held:
+            self.tops.append(self.sizes[-1])
+        self.number = np.zeros(len(self.tops), dtype=np.int64)
+        for size in self.sizes:
+            self.number[bisect_left(self.tops, size)] += histogram[size]
+
+    def take(self, size: int, n: int) -> None:
+        self.left[size] -= n
+        self.number[bisect_left(self.tops, size)] -= n
+        if not self.left[size]:
+            self.sizes.pop(bisect_left(self.sizes, size))
+
+    def fitting(self, room: int) -> int | None:
+        """The largest size that fits."""
+        at = bisect_right(self.sizes, room)
+        return self.sizes[at - 1] if at else None
+
+    def paired(self, cls: int, room: int) -> tuple[int | None, int]:
+        """(size, items): a size of a class with another one that fills `room` up exactly, else the largest of the class."""
+        high = self.largest(cls)
+        if high is None:
+            return None, 0
+        low = self.tops[cls - 1] if cls else 0
+        for at in range(bisect_right(self.sizes, high) - 1, -1, -1):
+            size = self.sizes[at]
+            if size <= low:
+                break
+            if other := self.left.get(room - size, 0):
+                if room - size != size:
+                    return size, other
+                if other > 1:
+                    return size, other // 2
+        return high, self.left[high]
+
+    def largest(self, cls: int) -> int | None:
+        """The largest size left in a class."""
+        size = self.fitting(self.tops[cls])
+        return size if size is not None and (cls == 0 or size > self.tops[cls - 1]) else None
 
 
 class Plan:
@@ -80,6 +120,7 @@ class Plan:
 
     def __init__(self, capacity: int) -> None:
         self.capacity, self.used = capacity, 0
+        self.bound, self.left = 0.0, 0.0  # lower bound, share of the classes' items that best fit placed
         self.next_rank: dict[int, int] = {}
         self.runs: list[tuple[int, int, int, int, int]] = []  # size, first rank, items, first container, place
         self.free: dict[int, list[tuple[int, int, int]]] = {}  # free space: (first container, containers, places)
@@ -97,23 +138,27 @@ class Plan:
         self.runs.append((size, rank, count, first, place))
         self.next_rank[size] = rank + count
 
-    def configured(self, slots: list[int], number: int, stock: list[list[list[int]]]) -> None:
-        """`number` containers of one configuration; `slots`: a class per place; `stock`: runs [size, items left] of each class."""
+    def configured(self, slots: list[int], number: int, stock: Stock) -> None:
+        """`number` containers of one configuration; `slots`: a class per place, the smallest last.
+
+        A slot takes the largest size left in its class. The last but one takes a size that another one fills up exactly, if its class has one, and
+        the last one the largest size of any class that still fits, which makes up for the rounding of sizes to classes.
+        """
         runs = [(self.used, number, 0, 0)]  # first container, containers, filled, places
         self.used += number
-        for cls in slots:
+        for k, cls in enumerate(slots):
             following = []
             for first, count, filled, places in runs:
-                while count and stock[cls]:
-                    size, left = stock[cls][-1]
-                    n = min(count, left)
+                while count:
+                    room = self.capacity - filled
+                    size, most = (stock.fitting(room), count) if k and k == len(slots) - 1 else stock.paired(cls, room) if k == len(slots) - 2 else (stock.largest(cls), count)
+                    if size is None or size > room:
+                        break
+                    n = min(count, most, stock.left[size])
+                    stock.take(size, n)
                     self._place(size, n, first, places)
                     following.append((first, n, filled + size, places + 1))
-                    first, count = first + n, count - n
-                    if left == n:
-                        stock[cls].pop()
-                    else:
-                        stock[cls][-1][1] = left - n
+                    first, count = first + n, count - n  # noqa: PLW2901
                 if count:
                     following.append((first, count, filled, places))
             runs = following
@@ -148,47 +193,60 @@ class Plan:
         self.ends = sorted(run for runs in self.free.values() for run in runs)
 
 
-def plan(histogram: dict[int, int], capacity: int) -> Plan:
-    """Lay out items given only as {size: items}, 1 <= size <= capacity."""
+def configured(histogram: dict[int, int], capacity: int) -> Plan:
+    """The plan by the configuration program, its rest by best fit."""
     out = Plan(capacity)
-    small = max(1, int(capacity * SMALL))
-    large = sorted((s, n) for s, n in histogram.items() if s > small)
+    small = int(capacity * SMALL)
     rest = {s: n for s, n in histogram.items() if s <= small}
-    total = sum(n for _, n in large)
-    if total:
-        per = max(1, -(-total // CLASSES))
-        stock: list[list[list[int]]] = []
-        tops: list[int] = []
-        room = 0
-        for size, n in large:  # classes of `per` items in rising order; a size may be cut
-            while n:
-                if room == 0:
-                    stock.append([])
-                    tops.append(size)
-                    room = per
-                k = min(n, room)
-                stock[-1].append([size, k])
-                tops[-1], room, n = size, room - k, n - k
-        demand = np.array([sum(k for _, k in s) for s in stock], dtype=np.float64)
-        for taken, weight in sorted(configurations(np.array(tops, dtype=np.int64), demand, capacity), key=lambda x: -x[1]):
-            left = np.array([sum(k for _, k in s) for s in stock])
-            if (fit := left[taken > 0] // taken[taken > 0]).size and (number := int(min(np.floor(weight), fit.min()))) > 0:
-                out.configured([c for c in np.flatnonzero(taken)[::-1].tolist() for _ in range(int(taken[c]))], number, stock)
-        for runs in stock:
-            for size, n in runs:
-                rest[size] = rest.get(size, 0) + n
+    out.bound = sum(s * n for s, n in histogram.items()) / capacity
+    stock = Stock({s: n for s, n in histogram.items() if s > small})
+    if stock.sizes:
+        cells = min(CELLS, capacity)
+        tops = np.array(stock.tops, dtype=np.int64)
+        lows = np.array([1 if not k else stock.tops[k - 1] + 1 for k in range(len(tops))])
+        need = -(-tops * cells // capacity)
+        demand = stock.number.copy()
+        total = int(demand.sum())
+        out.bound = max(out.bound, bound(np.maximum(lows, small + 1), demand, tops.astype(np.float64), capacity))
+        for _ in range(ROUNDS):
+            left = stock.number
+            if left.sum() <= ENOUGH * total:
+                break
+            # weights of the classes fall with coverage; dual values are weighted sizes
+            some = np.flatnonzero(left)
+            value = tops[some] * np.exp(-FALL * (1 - left[some] / demand[some]))
+            _, chosen = price(need[some], value, cells)
+            taken = np.zeros(len(tops), dtype=np.int64)
+            taken[some] = np.minimum(chosen, left[some])
+            used = np.flatnonzero(taken)
+            number = max(1, int(SHARE * (left[used] // taken[used]).min()))
+            out.configured([c for c in used[::-1].tolist() for _ in range(int(taken[c]))], number, stock)
+        out.left = float(stock.number.sum() / total)
+        for size in stock.sizes:
+            rest[size] = rest.get(size, 0) + stock.left[size]
     out.decreasing(list(rest.items()))
+    return out
+
+
+def plan(histogram: dict[int, int], capacity: int) -> Plan:
+    """Lay out items given only as {size: items}, 1 <= size <= capacity; bound: containers that any packing needs at least."""
+    made, plain = configured(histogram, capacity), Plan(capacity)
+    plain.decreasing(list(histogram.items()))
+    plain.bound = made.bound
+    out = made if made.used <= plain.used else plain
     out.close()
     return out
 
 
 def _sizes(tokenizers: list[str], folder: str):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoders = [encoding(t, folder) for t in tokenizers]
-        for b in batches:
-            texts = b["text"].to_pylist()
-            counts = [pa.array([len(e.encode_ordinary(t)) if t else 0 for t in texts], pa.int64()) for e in encoders]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], *counts], ["doc_id", *(f"n{i}" for i in range(len(encoders)))])
+        counters = [Counts(t, folder) for t in tokenizers]
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                b = whole.slice(start, 500)
+                texts = b["text"].to_pylist()
+                cuts = [pieces(t) if t else [] for t in texts]
+                yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(c.counts(texts, cuts)) for c in counters)], ["doc_id", *(f"n{i}" for i in range(len(counters)))])
 
     return run
 

@@ -54,3 +54,32 @@ def test_documents(spark):
     assert len({r["container"] for r in got if r["pack_id"] == 2}) == 1
     assert M.packed(df.limit(0), [(1, "byte_bpe_50k", 16)]).count() == 0
     assert M.packed(df, []).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("times", [1, 100, 10_000])
+def test_program_against_best_fit_and_its_bound(seed, times):
+    rng = random.Random(seed)
+    cap = (2048, 4096, 500)[seed]
+    hist = {s: n * times for s, n in Counter(min(cap, max(1, int(rng.lognormvariate(6, 0.9)))) for _ in range(6000)).items()}
+    alone = M.Plan(cap)
+    alone.decreasing(list(hist.items()))
+    got, made = M.plan(hist, cap), M.configured(hist, cap)
+    assert sum(s * n for s, n in hist.items()) / cap - 1e-6 <= got.bound <= got.used + 1e-6
+    assert got.used <= alone.used
+    assert made.left <= 0.1 and made.used <= 1.03 * alone.used + 1
+
+
+def test_bound_sees_what_sums_do_not():
+    # no two of these fit together, so that half of every container stays empty
+    assert M.plan({51: 1000}, 100).bound > 990
+    assert M.plan({51: 1000}, 100).used == 1000
+
+
+def test_counts_of_ids():
+    from quernstone.llm.lexicon import TOKENIZERS, Counts, encoding, pieces
+
+    texts = ["鍵の管理 and keys", "", None, "a\x1cb  c", "長い" * 300]
+    for name in ("byte_bpe_50k", "byte_bpe_multi_50k"):
+        want = [len(encoding(name).encode_ordinary(t)) if t else 0 for t in texts]
+        assert Counts(name, TOKENIZERS).counts(texts, [pieces(t) if t else [] for t in texts]).tolist() == want
