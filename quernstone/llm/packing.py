@@ -203,11 +203,11 @@ def configured(histogram: dict[int, int], capacity: int) -> Plan:
     if stock.sizes:
         cells = min(CELLS, capacity)
         tops = np.array(stock.tops, dtype=np.int64)
-        lows = np.array([1 if not k else stock.tops[k - 1] + 1 for k in range(len(tops))])
+        lows = np.array([stock.sizes[bisect_right(stock.sizes, t)] for t in [0, *stock.tops[:-1]]])
         need = -(-tops * cells // capacity)
         demand = stock.number.copy()
         total = int(demand.sum())
-        out.bound = max(out.bound, bound(np.maximum(lows, small + 1), demand, tops.astype(np.float64), capacity))
+        out.bound = max(out.bound, bound(lows, demand, tops.astype(np.float64), capacity))
         for _ in range(ROUNDS):
             left = stock.number
             if left.sum() <= ENOUGH * total:
