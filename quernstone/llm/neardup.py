@@ -7,8 +7,8 @@ registers of rows that share a template agree far less than their sets do. Bands
 bitmap of the shingles thin out and the sets themselves verify.
 
 Copies are never expanded: only one row for each distinct (section, content, formatting class) takes part. Buckets of up to
-`SMALL_BUCKET` rows give all their pairs, larger ones link every row to the smallest; buckets beyond `BLOCK` rows are linked while they are
-counted and go to no task as a whole.
+`SMALL_BUCKET` rows give all their pairs, larger ones link every row to the smallest, batch by batch where they are read, so that no bucket goes
+to a task as a whole.
 
 The bands find most links cheaply. What they may miss is found exactly: two alike sets share one of the rarest sequences of both
 (prefix filter), so all pairs that share one and are not in one group yet are compared, by size, place, bitmap and at last
@@ -45,7 +45,7 @@ BANDS, BAND_ROWS, SMALL_BUCKET = 64, 5, 40
 #: Cells of the tables of counts (fixed size, whatever the corpus).
 DF_BITS = 17
 #: Keys in a part, rows of a key in a block, bits of the parity bitmap, and pairs compared at a time.
-PART, BLOCK, BITS, AT_ONCE = 2_000_000, 20_000, 512, 1 << 20
+PART, BLOCK, BITS, AT_ONCE = 1_000_000, 20_000, 512, 1 << 20
 #: Candidates sent to every task for verification (a checked bound, 16 bytes each); beyond it they are shuffled.
 SENT = 200_000
 _BARE = regex.compile(r"[^\p{L}\p{N}]+")
@@ -172,31 +172,14 @@ def _prefixes(counts: np.ndarray, b: pa.RecordBatch, threshold: float) -> tuple[
     return row[first], place[first], key, cell[first], owner, token, sizes
 
 
-def _key_cells(how):  # noqa: ANN001, ANN202
-    """Counts of keys by cell, tables of fixed size."""
+def _crowded(counts, block: int, threshold: float):  # noqa: ANN001, ANN202
+    """(key, n) of rarest sequences in cells so full that they may need blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << DF_BITS, dtype=np.int64)
         for b in _slices(batches, 500):
-            counts += np.bincount((how(b)[1] >> np.uint64(64 - DF_BITS)).astype(np.int64), minlength=1 << DF_BITS)
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["cell", "n"])
-
-    return run
-
-
-def _crowded(full, how):  # noqa: ANN001, ANN202
-    """(key, n, low) of keys in cells so full that they may be crowded; full(key, cell): which are."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches, 500):
-            row, key, cell = how(b)
-            some = full(key, cell)
-            order = np.argsort(key[some], kind="stable")
-            key, node = key[some][order], b["node"].to_numpy()[row[some][order]]
-            head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, dtype=np.int64)
-            low = np.minimum.reduceat(node, head) if len(head) else node
-            yield pa.RecordBatch.from_arrays([pa.array(key[head].view(np.int64)), pa.array(np.diff(np.r_[head, len(key)]).astype(np.int64)), pa.array(low)], ["key", "n", "low"])
+            _, _, key, cell, *_ = _prefixes(counts.value, b, threshold)
+            keys, n = np.unique(key[counts.value[cell] > block], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
 
     return run
 
@@ -221,30 +204,46 @@ def _parted(b: pa.RecordBatch, row: np.ndarray, key: np.ndarray, place: np.ndarr
 POSTED = "part long, node long, comp long, kind long, size int, bits binary, keys array<int>, places array<int>"
 
 
-def _band_postings(crowded, parts: int, bands: int, band_rows: int):  # noqa: ANN001, ANN202
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = crowded.value
-        for b in _slices(batches, 500):
-            row, key, owner, token = _band_keys(b, bands, band_rows)
-            if len(hot):
-                cold = ~np.isin(key, hot)
-                row, key = row[cold], key[cold]
-            yield _parted(b, row, key, np.zeros(len(row), dtype=np.int64), parts, np.bincount(owner, minlength=b.num_rows), _bitmaps(owner, token, b.num_rows))
+def _band_postings(parts: int, threshold: float, bands: int, band_rows: int):  # noqa: ANN001, ANN202
+    """Each row's bands by part, with its bitmap.
 
-    return run
-
-
-def _hot_links(hot, low, bands: int, band_rows: int):  # noqa: ANN001, ANN202
-    """Links of the rows of crowded buckets to the smallest."""
+    A bucket that is crowded within one batch sends its smallest node only; the others of the batch are linked to it there and then, as rows
+    (node, comp) without keys, so that no bucket reaches a task as a whole.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches, 500):
-            row, key, *_ = _band_keys(b, bands, band_rows)
-            at = np.minimum(np.searchsorted(hot.value, key), len(hot.value) - 1)
-            hit = hot.value[at] == key
-            pairs = np.unique(np.column_stack([low.value[at[hit]], b["node"].to_numpy()[row[hit]]]), axis=0)
-            pairs = pairs[pairs[:, 0] < pairs[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+        for whole in batches:
+            made = [(b.num_rows, *_band_keys(b, bands, band_rows)) for b in _slices(iter([whole]), 500)]
+            if not made:
+                continue
+            starts = np.cumsum([0, *(m[0] for m in made)])
+            row = np.concatenate([m[1] + k for m, k in zip(made, starts)])
+            key = np.concatenate([m[2] for m in made])
+            sizes = np.concatenate([np.bincount(m[3], minlength=m[0]) for m in made])
+            bits = np.concatenate([_bitmaps(m[3], m[4], m[0]) for m in made])
+            node = whole["node"].to_numpy()
+            order = np.lexsort((node[row], key))
+            row, key = row[order], key[order]
+            head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, dtype=np.int64)
+            number = np.diff(np.r_[head, len(key)])
+            first = np.repeat(row[head], number)
+            crowded = np.repeat(number > SMALL_BUCKET, number) & (row != first)
+            links = np.unique(np.column_stack([first[crowded], row[crowded]]), axis=0)
+            if len(links):
+                x, y = links.T
+                both = sizes[x] + sizes[y]
+                least = np.ceil(threshold / (1 + threshold) * both - 1e-9)
+                near = (np.minimum(sizes[x], sizes[y]) >= least) & (np.bitwise_count(bits[x].view(np.uint64) ^ bits[y].view(np.uint64)).sum(axis=1, dtype=np.int64) <= both - 2 * least)
+                links = links[near]
+                n = len(links)
+                zero = pa.array(np.zeros(n + 1, dtype=np.int32))
+                empty = pa.ListArray.from_arrays(zero, pa.array([], pa.int32()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node[links[:, 0]] % parts), pa.array(node[links[:, 0]]), pa.array(node[links[:, 1]]), pa.nulls(n, pa.int64()), pa.array(np.zeros(n, dtype=np.int32)), pa.array([bytes(BITS // 8)] * n, pa.binary()), empty, empty],
+                    ["part", "node", "comp", "kind", "size", "bits", "keys", "places"],
+                )
+            row, key = row[~crowded], key[~crowded]
+            yield _parted(whole, row, key, np.zeros(len(row), dtype=np.int64), parts, sizes, bits)
 
     return run
 
@@ -331,7 +330,11 @@ def _buckets(threshold: float):  # noqa: ANN202
     """Pairs of the buckets of a part: all of small ones, links to the smallest node of larger ones."""
 
     def run(t: pa.Table) -> pa.Table:
-        p = _Part(t, threshold)
+        linked = pc.equal(pc.list_value_length(t["keys"]), 0)
+        links = t.filter(linked)
+        p = _Part(t.filter(pc.invert(linked)), threshold)
+        if links.num_rows:
+            p.found.append(np.column_stack([links["node"].to_numpy(), links["comp"].to_numpy()]))
         order = np.lexsort((p.node[p.row], p.key))
         key = p.key[order]
         fresh = np.r_[True, key[1:] != key[:-1]] if len(key) else np.empty(0, dtype=bool)
@@ -399,27 +402,10 @@ def _cells(df: DataFrame) -> np.ndarray:
     return counts
 
 
-def band_pairs(nodes: DataFrame, total: int, *, threshold: float, bands: int, band_rows: int, block: int) -> DataFrame:
+def band_pairs(nodes: DataFrame, total: int, *, threshold: float, bands: int, band_rows: int) -> DataFrame:
     """Pairs (a, b) of nodes that share a bucket of some band and may be alike, a < b, distinct; nodes: (node, sec, comp, kind, text)."""
-    sc = nodes.sparkSession.sparkContext
-    hot, low = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
-    if total > block:  # no bucket can be crowded otherwise
-        cells = sc.broadcast(_cells(nodes.mapInArrow(_key_cells(lambda b: _band_keys(b, bands, band_rows)), "cell long, n long")))
-
-        def how(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-            row, key, *_ = _band_keys(b, bands, band_rows)
-            return row, key, (key >> np.uint64(64 - DF_BITS)).astype(np.int64)
-
-        if cells.value.max() > block:
-            full = nodes.mapInArrow(_crowded(lambda key, cell: cells.value[cell] > block, how), "key long, n long, low long").groupBy("key").agg(F.sum("n").alias("n"), F.min("low").alias("low")).filter(F.col("n") > block).toArrow()  # no more keys than bands x rows / block
-            order = np.argsort(full["key"].to_numpy().view(np.uint64))
-            hot, low = full["key"].to_numpy().view(np.uint64)[order], full["low"].to_numpy()[order]
     parts = max(1, total * bands // PART)
-    held = sc.broadcast(hot)
-    found = nodes.mapInArrow(_band_postings(held, parts, bands, band_rows), POSTED).groupBy("part").applyInArrow(_buckets(threshold), "a long, b long")
-    if len(hot):
-        found = found.unionAll(nodes.mapInArrow(_hot_links(held, sc.broadcast(low), bands, band_rows), "a long, b long"))
-    return found.distinct()
+    return nodes.mapInArrow(_band_postings(parts, threshold, bands, band_rows), POSTED).groupBy("part").applyInArrow(_buckets(threshold), "a long, b long").distinct()
 
 
 def missed_pairs(nodes: DataFrame, *, threshold: float = ALIKE, block: int | None = None) -> DataFrame:
@@ -432,13 +418,8 @@ def missed_pairs(nodes: DataFrame, *, threshold: float = ALIKE, block: int | Non
     held = sc.broadcast(counts)
     hot = {}
     if counts.max(initial=0) > block:
-
-        def how(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-            row, _, key, cell, *_ = _prefixes(held.value, b, threshold)
-            return row, key, cell
-
         # no more sequences than rows' rarest ones divided by the block
-        full = nodes.mapInArrow(_crowded(lambda key, cell: held.value[cell] > block, how), "key long, n long, low long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > block)
+        full = nodes.mapInArrow(_crowded(held, block, threshold), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > block)
         hot = {r["key"]: max(2, -(-r["n"] // block)) for r in full.toLocalIterator()}
     keys = np.sort(np.array(list(hot), dtype=np.int64).view(np.uint64))
     blocks = np.array([hot[int(k)] for k in keys.view(np.int64)], dtype=np.int64)
@@ -450,7 +431,7 @@ def alike_nodes(nodes: DataFrame, *, threshold: float = ALIKE, bands: int = BAND
     """Pairs (a, b) of distinct contents whose shingle sets are alike, all that join groups; nodes: (node long, section, kind, text), kind null if several."""
     total = nodes.count()
     keyed = nodes.select("node", F.xxhash64("section").alias("sec"), F.col("node").alias("comp"), "kind", "text")
-    pairs, _ = materialize(band_pairs(keyed, total, threshold=threshold, bands=bands, band_rows=band_rows, block=BLOCK), "p7-candidates")
+    pairs, _ = materialize(band_pairs(keyed, total, threshold=threshold, bands=bands, band_rows=band_rows), "p7-candidates")
     near, _ = materialize(verified(pairs, nodes, threshold), "p7-near")
     # nodes of one kind only that they share are no link, so their pairs join no groups
     groups = components(near.filter("ka is null or kb is null or ka <> kb").select("a", "b"), member="node", group="comp")

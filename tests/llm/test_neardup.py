@@ -135,3 +135,14 @@ def test_template_families(spark, share):
     want = {rows[i][2]: rows[group[i]][2] for i in np.flatnonzero(alike.any(axis=1))}
     assert len(want) > 100
     assert {r["id"]: r["group_id"] for r in M.alike_groups(spark.createDataFrame(rows, SCHEMA)).collect()} == want
+
+
+def test_crowded_buckets_of_a_batch(spark):
+    """A third of the rows in one bucket of every band: the smallest node of each batch stands for them."""
+    rng = random.Random(9)
+    base = letters(rng, 150)
+    rows = [("a", n, f"q{n:04}", edited(rng, base, 2) if n % 3 == 0 else letters(rng, 60)) for n in range(360)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want = brute(rows)
+    assert len(want) == 120
+    assert {r["id"]: r["group_id"] for r in M.alike_groups(df).collect()} == want
