@@ -288,38 +288,40 @@ class _Part:
         self.place = pc.list_flatten(t["places"].combine_chunks()).to_numpy(zero_copy_only=False).astype(np.int64)
         self.found = [np.empty((0, 2), dtype=np.int64)]
 
-    def least(self, both: np.ndarray) -> np.ndarray:
-        """Sequences that two alike rows share at least, by the sum of their sizes."""
-        return np.ceil(self.threshold / (1 + self.threshold) * both - 1e-9)
-
-    def compare(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Keep the pairs of entries (of key, row, place) that may be alike."""
-        a, b = self.row[x], self.row[y]
-        size, rest_a, rest_b = self.size, self.size[a] - self.place[x], self.size[b] - self.place[y]
-        both = size[a] + size[b]
-        least = self.least(both)
-        ok = np.flatnonzero((self.comp[a] != self.comp[b]) & (np.minimum(rest_a, rest_b) >= least) & (np.minimum(size[a], size[b]) >= least))
-        a, b, both, least = a[ok], b[ok], both[ok], least[ok]
-        ok = np.bitwise_count(self.bits[a] ^ self.bits[b]).sum(axis=1, dtype=np.int64) <= both - 2 * least
-        ok &= ~(self.single[a] & self.single[b] & (self.kind[a] == self.kind[b]))
-        if ok.any():
-            self.found.append(np.unique(np.sort(np.column_stack([self.node[a[ok]], self.node[b[ok]]]), axis=1), axis=0))
-
     def ranges(self, x: np.ndarray, begin: np.ndarray, many: np.ndarray, entries: np.ndarray) -> None:
-        """Compare each entry x with entries[begin : begin + many], so many pairs at a time."""
+        """Compare each entry x with entries[begin : begin + many], so many pairs at a time, and keep the pairs that may be alike."""
+        size = self.size[self.row].astype(np.float32)
+        rest = size - self.place.astype(np.float32)  # sequences of a row from an entry on
+        size_y, rest_y = size[entries], rest[entries]
+        share = np.float32(self.threshold / (1 + self.threshold))  # of both sizes that alike rows have in common at least
         done, i, split = np.cumsum(many), 0, 0  # split: partners of entry i that are compared already
         while i < len(x):
             base = (done[i - 1] if i else 0) + split
             last = int(np.searchsorted(done, base + AT_ONCE, side="right"))
             if last <= i:  # the partners of one entry in pieces
-                self.compare(np.full(AT_ONCE, x[i]), entries[begin[i] + split + np.arange(AT_ONCE)])
+                some, n, first = x[i : i + 1], np.array([AT_ONCE]), begin[i : i + 1] + split
                 split += AT_ONCE
-                continue
-            n, first = many[i:last].copy(), begin[i:last].copy()
-            n[0], first[0] = n[0] - split, first[0] + split
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            self.compare(np.repeat(x[i:last], n), entries[np.repeat(first, n) + step])
-            i, split = last, 0
+            else:
+                some, n, first = x[i:last], many[i:last].copy(), begin[i:last].copy()
+                n[0], first[0] = n[0] - split, first[0] + split
+                i, split = last, 0
+            upto = np.cumsum(n)
+            y = np.repeat(first - (upto - n), n) + np.arange(upto[-1])
+            need = share * (np.repeat(size[some], n) + size_y[y]) - np.float32(1e-3)
+            ok = np.flatnonzero((np.repeat(rest[some], n) >= need) & (rest_y[y] >= need))
+            if len(ok):
+                self.compare(self.row[some[np.searchsorted(upto, ok, side="right")]], self.row[entries[y[ok]]])
+
+    def compare(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Keep the pairs of rows that may be alike by group, size and bitmap."""
+        both = self.size[a] + self.size[b]
+        least = np.ceil(self.threshold / (1 + self.threshold) * both - 1e-9)
+        ok = np.flatnonzero((self.comp[a] != self.comp[b]) & (np.minimum(self.size[a], self.size[b]) >= least))
+        a, b, both, least = a[ok], b[ok], both[ok], least[ok]
+        ok = np.bitwise_count(self.bits[a] ^ self.bits[b]).sum(axis=1, dtype=np.int64) <= both - 2 * least
+        ok &= ~(self.single[a] & self.single[b] & (self.kind[a] == self.kind[b]))
+        if ok.any():
+            self.found.append(np.unique(np.sort(np.column_stack([self.node[a[ok]], self.node[b[ok]]]), axis=1), axis=0))
 
     def pairs(self) -> pa.Table:
         out = np.unique(np.concatenate(self.found), axis=0)
@@ -364,7 +366,8 @@ def _meet(threshold: float):  # noqa: ANN202
         p = _Part(t, threshold)
         n = len(p.key)
         size = p.size[p.row]
-        order = np.lexsort((size, p.key))
+        wide = p.key.astype(np.int64) << 32
+        order = np.argsort(wide | size)
         key = p.key[order]
         fresh = np.r_[True, key[1:] != key[:-1]] if n else np.empty(0, dtype=bool)
         runs = np.cumsum(fresh) - 1
@@ -378,7 +381,8 @@ def _meet(threshold: float):  # noqa: ANN202
         end = np.searchsorted(sorted_held, runs * span + np.clip(top, -1, span - 1), side="right")
         many = np.where(top >= low, np.maximum(end - begin, 0), 0)
         # the other way: by group
-        by_comp = np.lexsort((p.comp[p.row], p.key))
+        _, rank = np.unique(p.comp, return_inverse=True)
+        by_comp = np.argsort(wide | rank[p.row])
         comp = p.comp[p.row[by_comp]]
         change = fresh | np.r_[True, comp[1:] != comp[:-1]] if n else fresh
         own_end = np.r_[np.flatnonzero(change), n][np.cumsum(change)] if n else change
