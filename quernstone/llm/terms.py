@@ -1,9 +1,10 @@
 """Frequency of every distinct term (problem 3) by recursive radix spilling and DuckDB.
 
 Terms are cut from the records in the JVM; Arrow batches are pre-aggregated where they are read, so a term that fills a third of the
-corpus sends one row per batch. The partial counts are spilled to the shared folder. Their 64-bit hashes are cut by leading
-bits; prefixes that hold more rows than one task should are cut further, recursively. Each leaf is aggregated by a
-DuckDB whose memory is limited and which spills into the shared folder.
+corpus sends one row per batch. The partial counts are spilled to the shared folder, partitioned by the leading bits of their 64-bit hashes.
+A partition that holds more rows than one task should is rewritten, and only it, by the next bits, recursively; equal terms
+that are counted in several batches are added up on the way. Each leaf is aggregated by a DuckDB that reads its files, whose memory is limited and which
+spills into the shared folder.
 
 Defined results: null and empty fields hold no terms; rows that repeat an id are one record (the smallest by text and
 explanation); with no records there is no row.
@@ -18,12 +19,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.session import materialize, plain_path, shared_dir, table
+from quernstone.session import discard, materialize, plain_path, shared_dir, table
 
 #: ASCII words, katakana words and kanji words of two or more characters.
 TERM = r"[A-Za-z][A-Za-z0-9]+|[ァ-ヺー]{2,}|[一-鿿]{2,}"
 #: Leading bits taken at each level, and the partial rows that one leaf may hold.
-LEVEL_BITS, LEAF_ROWS = 6, 2_000_000
+LEVEL_BITS, LEAF_ROWS = 4, 2_000_000
 
 
 def question_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,75 +56,76 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
-def _leaves(spilled: DataFrame, level_bits: int, leaf_rows: int) -> list[tuple[int, int]]:
-    """Prefixes (bits, value) of the hash that together cover it, cut until each holds few rows or all bits are used."""
-    leaves: list[tuple[int, int]] = []
-    open_, bits = [0], 0
-    while open_ and bits < 60:
-        bits += level_bits
-        parents = spilled if bits == level_bits else spilled.filter(F.shiftrightunsigned("h", 64 - bits + level_bits).isin(open_))
-        counts = parents.groupBy(F.shiftrightunsigned("h", 64 - bits).alias("p")).count().collect()  # at most 2 ** level_bits rows per open prefix
-        open_ = [r["p"] for r in counts if r["count"] > leaf_rows]
-        leaves += [(bits, r["p"]) for r in counts if r["count"] <= leaf_rows]
-    return leaves + [(bits, p) for p in open_]
+def _parts(spark: SparkSession, path: str) -> dict[int, str]:
+    """Partitions of a spilled level: bits to folder."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    names = [s.getPath().getName() for s in where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)]
+    return {int(n[5:]): f"{path}/{n}" for n in names if n.startswith("part=")}
 
 
-def _aggregate(spill: str | None, memory: str):  # noqa: ANN202
-    def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+SPILLED = "term string, occurrences long, records long, h long"
+
+
+def spill(partial: DataFrame, level_bits: int, leaf_rows: int, bits: int = 0) -> list[str]:
+    """Folders of leaves (term, occurrences, records, h) that together hold `partial`, each of few rows or of one term."""
+    spark = partial.sparkSession
+    part = F.shiftrightunsigned(F.shiftleft("h", bits), 64 - level_bits).alias("part")
+    _, path = materialize(partial.select("*", part), "p3-spill", by="part")
+    leaves = []
+    for folder in _parts(spark, path).values():
+        held = spark.read.schema(SPILLED).parquet(folder)
+        if held.count() <= leaf_rows or bits + level_bits > 60:  # counted by the files' footers
+            leaves.append(folder)
+            continue
+        # the oversized partition alone is read again; a term with many partial counts shrinks to one row
+        leaves += spill(held.groupBy("term", "h").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")).select("term", "occurrences", "records", "h"), level_bits, leaf_rows, bits + level_bits)
+        discard(spark, folder)
+    return leaves
+
+
+def _aggregate(leaves: list[str], spill_to: str, memory: str):  # noqa: ANN202
+    """Counts of the leaves whose numbers come in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
         import uuid
 
         import duckdb
 
-        con = duckdb.connect()
-        con.execute("SET threads = 1")
-        con.execute(f"SET memory_limit = '{memory}'")
-        if spill:
-            where = f"{spill}/duckdb-{uuid.uuid4().hex}"
-            con.execute(f"SET temp_directory = '{where}'")
-        con.execute("CREATE TABLE part (leaf INTEGER, term VARCHAR, occurrences BIGINT, records BIGINT)")
-
-        def done() -> Iterator[pa.RecordBatch]:
-            got = con.sql("SELECT term, sum(occurrences)::BIGINT AS occurrences, sum(records)::BIGINT AS records FROM part GROUP BY term").to_arrow_table()
-            con.execute("DELETE FROM part")
-            yield from got.cast(pa.schema([("term", pa.string()), ("occurrences", pa.int64()), ("records", pa.int64())])).to_batches(max_chunksize=50_000)
-
-        current = None
         for b in batches:
-            codes = b["leaf"].to_numpy()
-            start = 0
-            while start < len(codes):  # rows come sorted by leaf
-                stop = start + int((codes[start:] == codes[start]).argmin()) if codes[start] != codes[-1] else len(codes)
-                if current is not None and codes[start] != current:
-                    yield from done()
-                current = codes[start]
-                rows = pa.Table.from_batches([b.slice(start, stop - start)])  # noqa: F841 - read by DuckDB
-                con.execute("INSERT INTO part SELECT leaf, term, occurrences, records FROM rows")
-                start = stop
-        if current is not None:
-            yield from done()
-        con.close()
-        if spill and os.path.isdir(where):
-            os.rmdir(where)
-
-    return leaf
+            for leaf in b["id"].to_pylist():
+                where = f"{spill_to}/duckdb-{uuid.uuid4().hex}"
+                con = duckdb.connect()
+                con.execute("SET threads = 1")
+                con.execute("SET preserve_insertion_order = false")
+                con.execute(f"SET memory_limit = '{memory}'")
+                con.execute(f"SET temp_directory = '{where}'")
+                reader = con.execute("SELECT term, sum(occurrences)::BIGINT AS occurrences, sum(records)::BIGINT AS records FROM read_parquet(?) GROUP BY term", [f"{leaves[leaf]}/*.parquet"]).to_arrow_reader(50_000)
+                for got in reader:
+                    yield got.cast(pa.schema([("term", pa.string()), ("occurrences", pa.int64()), ("records", pa.int64())]))
+                con.close()
+                if os.path.isdir(where):
+                    os.rmdir(where)
+
+    return run
 
 
 def frequencies(records: DataFrame, *, parts: str = "parts", level_bits: int = LEVEL_BITS, leaf_rows: int = LEAF_ROWS, memory: str = "256MB") -> DataFrame:
-    """(term, occurrences, records) over `records`, each of which holds an array of texts in `parts`."""
+    """(term, occurrences, records) over `records`, each of which holds an array of texts in `parts`.
+
+    Where the shared folder is no file system that tasks can open, DuckDB cannot read the leaves, and Spark adds them up.
+    """
     spark = records.sparkSession
     found = F.flatten(F.transform(F.array_compact(parts), lambda x: F.regexp_extract_all(x, F.lit(TERM), F.lit(0))))
     cut = records.select(F.transform(found, lambda t: F.lower(t)).alias("terms")).filter("size(terms) > 0")
     partial = cut.mapInArrow(_partial, "term string, occurrences long, records long").withColumn("h", F.xxhash64("term"))
-    spilled, _ = materialize(partial, "p3-partial")
-    leaves = _leaves(spilled, level_bits, leaf_rows)
-    depths = sorted({b for b, _ in leaves})
-    rows = [(b, p, i) for i, (b, p) in enumerate(leaves)] or [(level_bits, 0, 0)]
-    lookup = spark.createDataFrame(rows, "bits int, prefix long, leaf int")
-    candidates = F.array(*[F.struct(F.lit(d).alias("bits"), F.shiftrightunsigned("h", 64 - d).alias("prefix")) for d in depths or [level_bits]])
-    placed = spilled.withColumn("c", F.explode(candidates)).select("term", "occurrences", "records", "c.bits", "c.prefix").join(F.broadcast(lookup), ["bits", "prefix"])
-    ready = placed.select("leaf", "term", "occurrences", "records").repartition(max(1, min(len(leaves), int(spark.conf.get("spark.sql.shuffle.partitions")))), "leaf").sortWithinPartitions("leaf")
-    return ready.mapInArrow(_aggregate(plain_path(shared_dir(spark)), memory), "term string, occurrences long, records long")
+    leaves = spill(partial, level_bits, leaf_rows)
+    shared = [plain_path(x) for x in leaves]
+    if any(x is None for x in shared):
+        return spark.read.schema(SPILLED).parquet(*leaves).groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    numbers = spark.range(0, len(leaves), 1, max(1, len(leaves)))  # a task for each leaf
+    return numbers.mapInArrow(_aggregate(shared, plain_path(shared_dir(spark)), memory), "term string, occurrences long, records long")
 
 
 def marks(spark: SparkSession, folder: str, *, rare: int = 2, common: float = 0.1) -> DataFrame:

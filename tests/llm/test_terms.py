@@ -24,3 +24,18 @@ def test_recursive_leaves(spark):
 
 def test_nothing(spark):
     assert M.frequencies(spark.createDataFrame([], "parts array<string>")).count() == 0
+
+
+def test_one_term_of_many_partial_counts(spark, monkeypatch):
+    """A term that alone is more than a leaf may hold shrinks when its partition is split; only oversized partitions are split."""
+    seen = []
+    whole = M.spill
+
+    def watched(partial, level_bits, leaf_rows, bits=0):
+        seen.append(bits)
+        return whole(partial, level_bits, leaf_rows, bits)
+
+    monkeypatch.setattr(M, "spill", watched)
+    df = spark.createDataFrame([(["hot hot"],)] * 64, "parts array<string>").repartition(16)
+    assert [tuple(r) for r in M.frequencies(df, level_bits=2, leaf_rows=3).collect()] == [("hot", 128, 64)]
+    assert seen == [0, 2]
