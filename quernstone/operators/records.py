@@ -270,6 +270,9 @@ SELECT id_a, id_b, round(k / (x.n + y.n - k), 4)::DOUBLE AS jaccard FROM m JOIN
 _KINDS = "CASE WHEN regexp_matches(trim(t), '^[（(]?[ア-ン][）)]?(?:\\s*[，,、]\\s*[（(]?[ア-ン][）)]?)*$') THEN 'choice' WHEN length(trim(t)) <= 20 AND NOT contains(t, '。') THEN 'term' ELSE 'essay' END"
 QUERIES = {n[2:]: f for n, f in list(globals().items()) if n.startswith("q_")}
 ORACLE = {
+    "without_page_numbers": "WITH q AS (SELECT id, any_value(text) AS text FROM questions WHERE id IS NOT NULL GROUP BY id), k0 AS (SELECT id, text, regexp_replace(text, '(?m)^[-–—−－][ 　]?[0-9]{1,3}[ 　]?[-–—−－]?$\n?', '', 'g') AS k FROM q WHERE text IS NOT NULL),"
+    + "".join(f" k{n} AS (SELECT id, text, regexp_replace(k, '[ \\n][-–—−－][ 　]?[0-9]{{1,3}}[ 　]?[-–—−－]?\\s*$', '', 'g') AS k FROM k{n - 1})," for n in (1, 2, 3)).rstrip(",")
+    + " SELECT id, length(k) AS chars FROM k3 WHERE text <> k",
     "source_paths": f"WITH {_Q} SELECT DISTINCT sessionId, 'src/' || sessionId || '/q_ans.pdf' AS path FROM q WHERE section = 'pm'",
     "answer_key_table": f"WITH {_Q} SELECT id, answer AS key, false AS conflict FROM q WHERE answer IS NOT NULL",
     "explanation_split": f"WITH {_Q} SELECT id, replace(explanation, chr(10), '') AS explanation FROM q WHERE explanation <> '' AND answer IS NOT NULL",

@@ -26,6 +26,8 @@ from quernstone.session import materialize, table
 OUT = "tbl string, fld string, row_key string, kind string, period string"
 #: Keys in a range, and references that one group may hold.
 RANGE_KEYS, GROUP_ROWS = 100_000, 200_000
+#: Ranges at most: the driver holds a sample of some forty keys of each, and one bound and one count.
+MOST_RANGES = 16_384
 
 
 @dataclass(frozen=True)
@@ -89,9 +91,9 @@ def parents(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
 
 
 def _bounds(parents_df: DataFrame, range_keys: int) -> list[tuple[str, str]]:
-    """Lower bounds of the ranges: quantiles of a sample whose size follows the number of ranges."""
+    """Lower bounds of the ranges: quantiles of a sample of some keys a range. Beyond `MOST_RANGES` ranges grow in size and not in number."""
     total = parents_df.count()
-    ranges = max(1, -(-total // range_keys))
+    ranges = max(1, min(MOST_RANGES, -(-total // range_keys)))
     if ranges == 1:
         return []
     seen = parents_df.sample(min(1.0, 40.0 * ranges / total), seed=7).select("parent", "key").collect()
@@ -173,13 +175,15 @@ def orphans(refs: DataFrame, parents_df: DataFrame, *, range_keys: int = RANGE_K
 
 
 def _range_of(lows: list[str]):  # noqa: ANN202
-    arr = np.array(lows, dtype=object)
+    held = np.sort(_sorted_keys(lows))
 
     @F.pandas_udf("int")
     def rng(keys):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        return pd.Series(np.searchsorted(arr, keys.to_numpy(), side="right").astype("int32"))
+        probes = _sorted_keys(keys.tolist())
+        width = max(held.dtype.itemsize, probes.dtype.itemsize)
+        return pd.Series(np.searchsorted(held.astype(f"S{width}"), probes.astype(f"S{width}"), side="right").astype("int32"))
 
     return rng
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quernstone.operators import study as batch
 from quernstone.operators.study import DAY_MS, DAYS, LAST_DAYS
 from quernstone.session import shared_dir, table
 
@@ -109,4 +110,9 @@ def daily_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"leitner_stream": leitner_stream, "sittings_stream": sittings_stream, "daily_stream": daily_stream}
-ORACLE = {"daily_stream": "SELECT CAST(floor(answered_at / 86400000.0) AS BIGINT) * 86400000 AS day_ms, mode, count(*) AS n FROM (SELECT DISTINCT * FROM answer_log) WHERE answered_at >= 0 GROUP BY ALL"}
+ORACLE = {
+    "daily_stream": "SELECT CAST(floor(answered_at / 86400000.0) AS BIGINT) * 86400000 AS day_ms, mode, count(*) AS n FROM (SELECT DISTINCT * FROM answer_log) WHERE answered_at >= 0 GROUP BY ALL",
+    "leitner_stream": batch.ORACLE["leitner_state"],
+    "sittings_stream": "WITH e AS (SELECT device, result, seq, answered_at AS ms FROM (SELECT DISTINCT * FROM answer_log) WHERE answered_at >= 0 AND device IS NOT NULL), o AS (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY device ORDER BY ms, seq) < 1200000 THEN 0 ELSE 1 END AS opens FROM e), s AS (SELECT *, sum(opens) OVER (PARTITION BY device ORDER BY ms, seq) AS k FROM o)"
+    " SELECT device, make_timestamp(min(ms) * 1000) AS opened, count(*) AS n, count(*) FILTER (result = 'true') AS correct FROM s GROUP BY device, k",
+}
