@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.session import table
+from quernstone.session import materialize, table
 
 
 def bare(value: Column) -> Column:
@@ -37,24 +37,25 @@ def same_multiset(a: Column, b: Column) -> Column:
 
 
 def copies(records: DataFrame, key: str, single: list[str], bag: str) -> DataFrame:
-    """`records` with keep_id and copies: `single` are fields compared one by one, `bag` is an array compared as a multiset.
+    """(keep_id, key) of the `records` that have copies: `single` are fields compared one by one, `bag` is an array compared as a multiset.
 
-    The grouping aggregates before it shuffles and keeps one representative, so a group of any share of the rows is no burden.
+    Fingerprints alone are grouped, which aggregates before it shuffles, so a group of any share of the rows is no burden; only rows of groups of
+    two and more are kept with their fields, and held against the row that represents the group.
     """
     pairs = F.concat(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in single]), F.transform(bag, lambda v: F.struct(F.lit(bag).alias("field"), v.alias("value"))))
     marked = records.select(key, *single, bag).withColumn("pairs", pairs).withColumn("f1", fingerprint(F.col("pairs"), 1)).withColumn("f2", fingerprint(F.col("pairs"), 2)).drop("pairs")
-    fields = [F.col(c) for c in [*single, bag]]
-    heads = marked.groupBy("f1", "f2").agg(F.min_by(F.struct(*fields), F.col(key)).alias("head"), F.min(key).alias("keep_id"), F.count("*").alias("copies")).filter("copies > 1")
-    met = marked.join(heads, ["f1", "f2"])
+    heads = marked.groupBy("f1", "f2").agg(F.min(key).alias("keep_id"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
+    met, _ = materialize(marked.join(heads, ["f1", "f2"]), "p6-copies")
+    head = met.filter(F.col(key) == F.col("keep_id")).select("f1", "f2", F.struct(*single, bag).alias("head"))
+    held = met.join(head, ["f1", "f2"])
     equal = same_multiset(F.col(bag), F.col(f"head.{bag}"))
     for c in single:
         equal = equal & F.col(c).eqNullSafe(F.col(f"head.{c}"))
-    met = met.withColumn("equal", equal)
-    agreed = met.filter("equal").select("keep_id", key)
+    agreed = held.filter(equal).select("keep_id", key)
     # colliding fingerprints: what is not equal to the head is grouped by its values
-    rest = met.filter("not equal").withColumn("sorted", F.array_sort(bag))
-    rest_heads = rest.groupBy("f1", "f2", *single, "sorted").agg(F.min(key).alias("own"))
-    again = rest.drop("keep_id").join(rest_heads.withColumnsRenamed({c: f"_{c}" for c in [*single, "sorted", "f1", "f2"]}), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*single, "sorted", "f1", "f2"]])
+    rest = held.filter(~equal).withColumn("ordered", F.array_sort(bag))
+    rest_heads = rest.groupBy("f1", "f2", *single, "ordered").agg(F.min(key).alias("own"))
+    again = rest.drop("keep_id").join(rest_heads.withColumnsRenamed({c: f"_{c}" for c in [*single, "ordered", "f1", "f2"]}), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*single, "ordered", "f1", "f2"]])
     return agreed.unionAll(again.select(F.col("own").alias("keep_id"), key))
 
 

@@ -101,7 +101,7 @@ def _aggregate(leaves: list[str], spill_to: str, memory: str):  # noqa: ANN202
                 con.execute("SET preserve_insertion_order = false")
                 con.execute(f"SET memory_limit = '{memory}'")
                 con.execute(f"SET temp_directory = '{where}'")
-                reader = con.execute("SELECT term, sum(occurrences)::BIGINT AS occurrences, sum(records)::BIGINT AS records FROM read_parquet(?) GROUP BY term", [f"{leaves[leaf]}/*.parquet"]).to_arrow_reader(50_000)
+                reader = con.sql("SELECT term, sum(occurrences)::BIGINT AS occurrences, sum(records)::BIGINT AS records FROM read_parquet($leaf) GROUP BY term", params={"leaf": f"{leaves[leaf]}/*.parquet"}).to_arrow_reader(50_000)
                 for got in reader:
                     yield got.cast(pa.schema([("term", pa.string()), ("occurrences", pa.int64()), ("records", pa.int64())]))
                 con.close()
