@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from quernstone.session import discard, materialize, table
 
+#: Rows of a set beyond which its vertex is hot.
+HOT = 1_000_000
+
 
 def components(pairs: DataFrame, left: str = "a", right: str = "b", *, member: str = "id", group: str = "group_id", max_rounds: int = 200) -> DataFrame:
     """Group of each id of `pairs`: (id, group_id), where group_id is the smallest id linked directly or indirectly."""
@@ -24,8 +27,8 @@ def components(pairs: DataFrame, left: str = "a", right: str = "b", *, member: s
     state, path = materialize(state, "groups")
     seen = _print(state)
     for _ in range(max_rounds):
-        low = state.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("low"))
-        sent = state.join(low, "v")
+        low = state.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("low"), F.count("*").alias("n"))
+        sent = with_low(state, low, seen[0])
         # the set, with its own vertex, to the smallest member; the smallest member to all others
         to_low = sent.select(F.col("low").alias("v"), "u").unionAll(low.select(F.col("low").alias("v"), F.col("v").alias("u")))
         to_rest = sent.select(F.col("u").alias("v"), F.col("low").alias("u")).unionAll(low.select("v", F.col("low").alias("u")))
@@ -41,6 +44,18 @@ def components(pairs: DataFrame, left: str = "a", right: str = "b", *, member: s
     return state.groupBy(F.col("v").alias(member)).agg(F.least(F.min("u"), F.col("v")).alias(group))
 
 
+def with_low(state: DataFrame, low: DataFrame, rows: int) -> DataFrame:
+    """The sets (v, u) with the smallest member of each: sets of more than `HOT` rows stay where they are and get theirs sent.
+
+    The smallest vertex of a component holds it whole, so its rows must not meet in one task. There are no more hot vertices than rows / HOT.
+    """
+    if rows <= HOT:
+        return state.join(low.drop("n"), "v")
+    hot = F.broadcast(low.filter(F.col("n") > HOT).select("v", "low"))
+    cold = state.join(F.broadcast(low.filter(F.col("n") > HOT).select("v")), "v", "left_anti")
+    return state.join(hot, "v").unionAll(cold.join(low.filter(F.col("n") <= HOT).drop("n"), "v"))
+
+
 def _print(state: DataFrame) -> tuple:
     """Count and order-free fingerprint of the sets."""
     return tuple(state.select(F.xxhash64("v", "u").alias("h"), F.xxhash64("u", "v").alias("k")).agg(F.count("*"), F.expr("bit_xor(h)"), F.expr("bit_xor(k)")).first())

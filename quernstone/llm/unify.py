@@ -188,28 +188,54 @@ def with_form(df: DataFrame, field: str) -> DataFrame:
     return df.mapInArrow(_add_form(field), schema)
 
 
+def _forms(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(src, scope, id, form, text) of the rows, form and text as digests, and the (src, scope, form) that different texts share."""
+    formed = with_form(rows.select("src", "scope", "id", "text").filter("text is not null"), "text")
+    slim = formed.select("src", "scope", "id", F.md5("form").alias("form"), F.md5("text").alias("text")).distinct()
+    slim, _ = materialize(slim, "p5-forms")
+    return slim, slim.groupBy("src", "scope", "form").agg(F.min("text").alias("t0"), F.max("text").alias("t1")).filter("t0 <> t1").select("src", "scope", "form")
+
+
 def lookalike_pairs(rows: DataFrame) -> DataFrame:
     """Pairs (src, id_a, id_b), id_a < id_b, of the rows (src, scope, id, text) of one src and scope whose texts differ but have one form.
 
-    Texts travel as 128-bit digests; only forms that two different texts share are joined.
+    Texts travel as 128-bit digests; only forms that two different texts share are joined. Pairs grow with the square of a form's rows;
+    `lookalike_classes` gives the same classes a row each.
     """
-    formed = with_form(rows.select("src", "scope", "id", "text").filter("text is not null"), "text")
-    slim = formed.select("src", "scope", "id", F.md5("form").alias("form"), F.md5("text").alias("text")).distinct()
-    slim, _ = materialize(slim, "p5-forms")
-    shared = slim.groupBy("src", "scope", "form").agg(F.min("text").alias("t0"), F.max("text").alias("t1")).filter("t0 <> t1").select("src", "scope", "form")
+    slim, shared = _forms(rows)
     some = slim.join(shared, ["src", "scope", "form"], "left_semi")
     other = some.select("src", "scope", "form", F.col("id").alias("other"), F.col("text").alias("other_text"))
     met = some.join(other, ["src", "scope", "form"]).filter("text <> other_text and id < other")
     return met.select("src", F.col("id").alias("id_a"), F.col("other").alias("id_b")).distinct()
 
 
-def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Questions whose texts, and fixes of one question whose choices ア, differ but look the same."""
+def lookalike_classes(rows: DataFrame) -> DataFrame:
+    """(src, id, keep_id, texts, ids): each row whose form two different texts share, with the smallest id of its class and the class's texts and ids.
+
+    A form of any share of the rows is aggregated in parts before the shuffle and never paired.
+    """
+    slim, _ = _forms(rows)
+    per_text = slim.groupBy("src", "scope", "form", "text").agg(F.min("id").alias("low"), F.count("*").alias("ids"))
+    classes = per_text.groupBy("src", "scope", "form").agg(F.min("low").alias("keep_id"), F.count("*").alias("texts"), F.sum("ids").alias("ids")).filter("texts > 1")
+    return slim.join(classes, ["src", "scope", "form"]).select("src", "id", "keep_id", "texts", "ids")
+
+
+def _compared(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows (src, scope, id, text) that are compared."""
     questions = table(spark, folder, "questions").filter("id is not null").select(F.lit("questions").alias("src"), F.lit("").alias("scope"), "id", "text")
     entries = table(spark, folder, "am_fixes").filter("id is not null and fix_key is not null").select("id", "fix_key", F.explode(F.map_entries("choices")).alias("e"))
     keyed = with_form(entries.select("id", "fix_key", F.col("e.key").alias("key"), F.col("e.value").alias("text")), "key").filter(F.trim("form") == "ア")
-    fixes = keyed.select(F.lit("am_fixes").alias("src"), F.col("id").alias("scope"), F.col("fix_key").alias("id"), "text")
-    return lookalike_pairs(questions.unionAll(fixes))
+    return questions.unionAll(keyed.select(F.lit("am_fixes").alias("src"), F.col("id").alias("scope"), F.col("fix_key").alias("id"), "text"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions whose texts, and fixes of one question whose choices ア, differ but look the same."""
+    return lookalike_pairs(_compared(spark, folder))
+
+
+def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """The same as classes: each such question or fix with its class's smallest key, texts and rows."""
+    return lookalike_classes(_compared(spark, folder))
 
 
 def p5_forms(spark: SparkSession, folder: str) -> DataFrame:
@@ -218,5 +244,5 @@ def p5_forms(spark: SparkSession, folder: str) -> DataFrame:
     return with_form(rows, "text").select("id", "form")
 
 
-QUERIES = {"p5_found": p5_found, "p5_forms": p5_forms}
+QUERIES = {"p5_found": p5_found, "p5_classes": p5_classes, "p5_forms": p5_forms}
 ORACLE: dict[str, str] = {}

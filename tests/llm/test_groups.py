@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from quernstone.llm import groups
 from quernstone.llm.groups import components
 
 SCHEMA = "a string, b string"
@@ -44,3 +45,10 @@ def test_nothing(spark):
 def test_extra_columns_with_clashing_names(spark):
     df = spark.createDataFrame([("x", "y")], SCHEMA).selectExpr("*", "1 AS v", "2 AS u", "3 AS id", "4 AS group_id", "5 AS low")
     assert {tuple(r) for r in components(df).collect()} == {("x", "x"), ("y", "x")}
+
+
+def test_hot_vertices_stay_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(groups, "HOT", 20)
+    pairs = [("hub", f"q{i:03}") for i in range(200)] + [(f"q{i:03}", f"r{i:03}") for i in range(0, 200, 3)] + [("x", "y"), ("y", "z")]
+    got = {r["id"]: r["group_id"] for r in components(spark.createDataFrame(pairs, SCHEMA)).collect()}
+    assert got == brute(pairs)

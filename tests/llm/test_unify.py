@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quernstone.llm.unify import lookalike_pairs, unified
+from quernstone.llm.unify import lookalike_classes, lookalike_pairs, unified
 
 
 def form(*texts):
@@ -56,3 +56,11 @@ def test_extra_columns_with_clashing_names(spark):
     df = spark.createDataFrame([("q", "s", "1", "Ａ"), ("q", "s", "2", "A")], "src string, scope string, id string, text string").selectExpr("*", "1 AS form", "2 AS id_a", "3 AS other")
     assert {tuple(r) for r in lookalike_pairs(df).collect()} == {("q", "1", "2")}
     assert [r["form"] for r in with_form(df, "text").collect()] == ["A", "A"]
+
+
+def test_classes_agree_with_pairs(spark):
+    rows = [("s", "", f"q{k:02}", "ab" if k % 2 else "ａb") for k in range(30)] + [("s", "", "z1", "same"), ("s", "", "z2", "same"), ("s", "", "z3", None), ("s", "", "e1", ""), ("s", "", "e2", "\u200b"), ("t", "", "q00", "ab")]
+    df = spark.createDataFrame(rows, "src string, scope string, id string, text string")
+    classes = {r["id"]: (r["keep_id"], r["texts"], r["ids"]) for r in lookalike_classes(df).collect()}
+    assert classes == {**{f"q{k:02}": ("q00", 2, 30) for k in range(30)}, "e1": ("e1", 2, 2), "e2": ("e1", 2, 2)}
+    assert {i for r in lookalike_pairs(df).collect() for i in (r["id_a"], r["id_b"])} == set(classes)
