@@ -82,6 +82,10 @@ def shared_file(spark: SparkSession, tag: str) -> str | None:
     return path
 
 
+#: Tables written by `materialize`, by application.
+_written: dict[str, list[str]] = {}
+
+
 def materialize(df: DataFrame, tag: str, *, by: str | None = None) -> tuple[DataFrame, str]:
     """Write `df` to the shared folder and read it back: lineage ends there and survives the loss of executors."""
     spark = df.sparkSession
@@ -90,6 +94,7 @@ def materialize(df: DataFrame, tag: str, *, by: str | None = None) -> tuple[Data
     if by:
         writer = writer.partitionBy(by)
     writer.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -98,3 +103,11 @@ def discard(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete every table that this application's queries wrote to the shared folder, once their results have been used; how many there were."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        discard(spark, path)
+    return len(paths)

@@ -21,3 +21,13 @@ def test_prefix_sum(spark):
 def test_place(spark):
     df = spark.createDataFrame([("a", 3), ("a", 1), ("b", 7)], "g string, k int")
     assert {(r["g"], r["k"], r["place"]) for r in place(df, ["g"], ["k"]).collect()} == {("a", 1, 1), ("a", 3, 2), ("b", 7, 1)}
+
+
+def test_release(spark):
+    from quernstone import session
+
+    session.release(spark)
+    df, path = session.materialize(spark.range(5), "release")
+    assert df.count() == 5 and session.release(spark) == 1
+    assert session.plain_path(path) and not __import__("os").path.exists(session.plain_path(path))
+    assert session.release(spark) == 0
