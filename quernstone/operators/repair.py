@@ -73,6 +73,25 @@ def q_corrected_texts(spark: SparkSession, folder: str) -> DataFrame:
     return questions(spark, folder).filter("text is not null").select("id", F.col("text").alias("before"), apply_rules(F.col("text"), rules).alias("after")).filter("before <> after").select("id", "after")
 
 
+def q_pattern_hits(spark: SparkSession, folder: str) -> DataFrame:
+    """How many texts each valid rule matches, regular expressions and patterns of several lines included; rules without a match are left out."""
+    rules = usable_rules(spark, folder)
+
+    def count(batches):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        hits: dict[int, int] = {}
+        for pdf in batches:
+            for ord_, pattern, _ in rules:
+                n = sum(1 for t in pdf["text"] if re.search(pattern, t))
+                hits[ord_] = hits.get(ord_, 0) + n
+        yield pd.DataFrame({"ord": pd.Series(list(hits), dtype="int32"), "hits": pd.Series(list(hits.values()), dtype="int64")})
+
+    # a row for each rule and task: a text that a rule's forms match twice counts for each
+    partial = questions(spark, folder).filter("text is not null").select("text").mapInPandas(count, "ord int, hits long")
+    return partial.groupBy("ord").agg(F.sum("hits").alias("hits")).filter("hits > 0")
+
+
 def q_rule_hits(spark: SparkSession, folder: str) -> DataFrame:
     """How many texts hold each plain rule's pattern."""
     rules = table(spark, folder, "corrections").filter(~F.col("pattern").rlike(r"[\n()\[\]|+?\\]")).select("ord", "pattern")
