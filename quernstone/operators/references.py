@@ -171,6 +171,9 @@ def orphans(refs: DataFrame, parents_df: DataFrame, *, range_keys: int = RANGE_K
     salts = spark.createDataFrame(hot or [(0, 1)], "rng int, salts long")
     split = kept_refs.join(F.broadcast(salts), "rng").withColumn("salt", F.pmod(F.xxhash64("tbl", "row_key"), "salts")).drop("salts")
     copied = ranged(kept_parents).join(F.broadcast(salts), "rng").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    # as many partitions as groups, so that no task's share grows with the input
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(s for _, s in hot))
+    copied, split = copied.repartition(n, "rng", "salt"), split.repartition(n, "rng", "salt")
     return copied.groupBy("rng", "salt").cogroup(split.groupBy("rng", "salt")).applyInArrow(_probe, OUT).distinct()
 
 
