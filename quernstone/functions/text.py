@@ -121,10 +121,3 @@ def paragraphs(s: Column) -> Column:
 def preview(s: Column, size: int) -> Column:
     """The first `size` characters and an ellipsis if there are more."""
     return F.when(F.length(s) > size, F.concat(F.substring(s, 1, size), F.lit("…"))).otherwise(s)
-
-
-def grams3(s: Column) -> Column:
-    """Distinct three-character sequences; none of shorter texts."""
-    # the text is bound once: an expression within the inner lambda would be evaluated for every sequence
-    cut = F.transform(F.array(s), lambda b: F.when(F.length(b) >= 3, F.transform(F.sequence(F.lit(1), F.length(b) - 2), lambda i: F.substring(b, i, F.lit(3)))).otherwise(F.array().cast("array<string>")))
-    return F.array_distinct(F.flatten(cut))

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from quernstone.llm.copies import bare
 from quernstone.llm.groups import components
+from quernstone.plans.alike import BITS, BLOCK, PART, POSTED, _bitmaps, _mix, _parted, _Part, _slices, missed_pairs, shingles, tokens
 from quernstone.session import materialize, table
 
 #: Similarity that makes two records alike.
@@ -42,10 +43,6 @@ ALIKE = 0.60
 #: Bands of registers, registers in a band (a pair of similarity 0.6 meets with 0.994, one of 0.65 with 0.9996), and the rows of a bucket
 #: whose pairs are all proposed.
 BANDS, BAND_ROWS, SMALL_BUCKET = 64, 5, 40
-#: Cells of the tables of counts (fixed size, whatever the corpus).
-DF_BITS = 17
-#: Keys in a part, rows of a key in a block, bits of the parity bitmap, and pairs compared at a time.
-PART, BLOCK, BITS, AT_ONCE = 1_000_000, 20_000, 512, 1 << 20
 #: Candidates sent to every task for verification (a checked bound, 16 bytes each); beyond it they are shuffled.
 SENT = 200_000
 _BARE = regex.compile(r"[^\p{L}\p{N}]+")
@@ -56,22 +53,6 @@ def content(text: str) -> str:
     return _BARE.sub("", unicodedata.normalize("NFKC", text).lower())
 
 
-def shingles(text: str) -> np.ndarray:
-    """Distinct three-character sequences as sorted integers."""
-    if len(text) < 3:
-        return np.empty(0, dtype=np.int64)
-    points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-    return np.unique((points[:-2] << 42) | (points[1:-1] << 21) | points[2:])
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finalizer (splitmix64)."""
-    x = x + np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def prob_min_hash(flat: np.ndarray, owner: np.ndarray, weights: np.ndarray, rows: int, registers: int, draws: int = 6) -> np.ndarray:
     """Registers of `rows` documents from their shingles: 24 bits of the winner's hash of every register.
 
@@ -98,52 +79,11 @@ def prob_min_hash(flat: np.ndarray, owner: np.ndarray, weights: np.ndarray, rows
     return (best & low).reshape(rows, registers)
 
 
-def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, hash of 52 bits) of the distinct three-character sequences of up to 4096 texts, sorted."""
-    length = np.array([len(t) for t in texts], dtype=np.int64)
-    points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    if len(points) < 3:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
-    owner = np.repeat(np.arange(len(texts), dtype=np.uint64), length)
-    with np.errstate(over="ignore"):
-        h = _mix((points[:-2] << np.uint64(42)) | (points[1:-1] << np.uint64(21)) | points[2:])
-    keep = owner[:-2] == owner[2:]
-    both = np.sort((owner[:-2][keep] << np.uint64(52)) | (h[keep] >> np.uint64(12)))
-    if len(both):
-        both = both[np.r_[True, both[1:] != both[:-1]]]
-    return (both >> np.uint64(52)).astype(np.int64), both & np.uint64((1 << 52) - 1)
-
-
-def _cell(token: np.ndarray) -> np.ndarray:
-    return (token >> np.uint64(52 - DF_BITS)).astype(np.int64)
-
-
-def _slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for start in range(0, whole.num_rows, size):
-            yield whole.slice(start, size)
-
-
-def _df_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1 << DF_BITS, dtype=np.int64)
-    for b in _slices(batches, 2000):
-        counts += np.bincount(_cell(tokens(b["text"].to_pylist())[1]), minlength=1 << DF_BITS)
-    used = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["cell", "n"])
-
-
 def _content_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         yield pa.RecordBatch.from_arrays([b["section"], b["kind"], b["id"], pa.array([content(t) for t in b["raw"].to_pylist()], pa.string())], ["section", "kind", "id", "text"])
 
 
-def _bitmaps(owner: np.ndarray, token: np.ndarray, rows: int) -> np.ndarray:
-    """Parity bitmaps: each sequence flips one bit of its row, so unlike bits of two rows are sequences of one of them only."""
-    with np.errstate(over="ignore"):
-        bit = (_mix(token) % np.uint64(BITS)).astype(np.int64)
-    return np.packbits((np.bincount(owner * BITS + bit, minlength=rows * BITS) & 1).astype(np.uint8).reshape(rows, BITS), axis=1)
-
-
 def _band_keys(b: pa.RecordBatch, bands: int, band_rows: int) -> tuple[np.ndarray, ...]:
     """(row, key) of the bands of all rows that have sequences, and (owner, token) of these."""
     owner, token = tokens(b["text"].to_pylist())
@@ -157,53 +97,6 @@ def _band_keys(b: pa.RecordBatch, bands: int, band_rows: int) -> tuple[np.ndarra
     return np.repeat(some, bands), keys[some].ravel(), owner, token
 
 
-def _prefixes(counts: np.ndarray, b: pa.RecordBatch, threshold: float) -> tuple[np.ndarray, ...]:
-    """(row, place, key, cell) of each row's rarest sequences, (owner, token) of all, and sizes; keys are a section's own."""
-    owner, token = tokens(b["text"].to_pylist())
-    sec = b["sec"].to_numpy(zero_copy_only=False).view(np.uint64)
-    cell = _cell(token)
-    order = np.lexsort((token, counts[cell], owner))  # one order for all rows, rare ones first
-    row, cell = owner[order], cell[order]
-    sizes = np.bincount(owner, minlength=b.num_rows)
-    place = np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]
-    first = place <= (sizes - np.ceil(threshold * sizes - 1e-9))[row]
-    with np.errstate(over="ignore"):
-        key = _mix(token[order][first] ^ sec[row[first]])
-    return row[first], place[first], key, cell[first], owner, token, sizes
-
-
-def _crowded(counts, block: int, threshold: float):  # noqa: ANN001, ANN202
-    """(key, n) of rarest sequences in cells so full that they may need blocks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches, 500):
-            _, _, key, cell, *_ = _prefixes(counts.value, b, threshold)
-            keys, n = np.unique(key[counts.value[cell] > block], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
-
-    return run
-
-
-def _parted(b: pa.RecordBatch, row: np.ndarray, key: np.ndarray, place: np.ndarray, parts: int, sizes: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
-    """Keys and places of each row by part, with what thins out its pairs."""
-    with np.errstate(over="ignore"):
-        part = (key % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((part, row))
-    row, place, key, part = row[order], place[order], key[order], part[order]
-    head = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (part[1:] != part[:-1])]) if len(row) else np.empty(0, dtype=np.int64)
-    ends, at = pa.array(np.r_[head, len(row)].astype(np.int32)), pa.array(row[head])
-    width = pa.array(np.arange(0, (len(head) + 1) * (BITS // 8), BITS // 8, dtype=np.int32))
-    bitmaps = pa.Array.from_buffers(pa.binary(), len(head), [None, width.buffers()[1], pa.py_buffer(bits[row[head]].tobytes())])
-    short = (key >> np.uint64(32)).astype(np.uint32).view(np.int32)  # equal halves of unlike keys bring some more pairs to compare
-    return pa.RecordBatch.from_arrays(
-        [pa.array(part[head]), b["node"].take(at), b["comp"].take(at), b["kind"].take(at), pa.array(sizes[row[head]].astype(np.int32)), bitmaps, pa.ListArray.from_arrays(ends, pa.array(short)), pa.ListArray.from_arrays(ends, pa.array(place.astype(np.int16 if place.max(initial=0) < 32768 else np.int32)).cast(pa.int32()))],
-        ["part", "node", "comp", "kind", "size", "bits", "keys", "places"],
-    )
-
-
-POSTED = "part long, node long, comp long, kind long, size int, bits binary, keys array<int>, places array<int>"
-
-
 def _band_postings(parts: int, threshold: float, bands: int, band_rows: int):  # noqa: ANN001, ANN202
     """Each row's bands by part, with its bitmap.
 
@@ -248,86 +141,6 @@ def _band_postings(parts: int, threshold: float, bands: int, band_rows: int):  #
     return run
 
 
-def _prefix_postings(counts, crowded, parts: int, threshold: float):  # noqa: ANN001, ANN202
-    """Each row's rarest sequences by part, with its bitmap."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, blocks = crowded.value
-        for b in _slices(batches, 1000):
-            row, place, key, _, owner, token, sizes = _prefixes(counts.value, b, threshold)
-            if len(hot):
-                # a crowded sequence goes to all pairs of its blocks that the row's own block is in
-                at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
-                n = np.where(hot[at] == key, blocks[at], 1)
-                with np.errstate(over="ignore"):
-                    own = (_mix(b["node"].to_numpy().view(np.uint64))[row] % n.astype(np.uint64)).astype(np.int64)
-                    times = np.maximum(n - 1, 1)
-                    at = np.repeat(np.arange(len(key)), times)
-                    other = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-                    other += (other >= own[at]) & (n[at] > 1)
-                    pair = np.minimum(own[at], other) * n[at] + np.maximum(own[at], other)
-                    row, place, key = row[at], place[at], np.where(n[at] > 1, _mix(key[at] ^ _mix(pair.astype(np.uint64))), key[at])
-            yield _parted(b, row, key, place, parts, sizes, _bitmaps(owner, token, b.num_rows))
-
-    return run
-
-
-class _Part:
-    """The rows of a part and the tests that thin out their pairs."""
-
-    def __init__(self, t: pa.Table, threshold: float) -> None:
-        t = t.combine_chunks()
-        self.threshold = threshold
-        self.node, self.comp, self.size = t["node"].to_numpy(), t["comp"].to_numpy(), t["size"].to_numpy().astype(np.int64)
-        self.single = t["kind"].is_valid().to_numpy()
-        self.kind = t["kind"].fill_null(0).to_numpy()
-        self.bits = np.frombuffer(b"".join(t["bits"].to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
-        lists = t["keys"].combine_chunks()
-        self.key = pc.list_flatten(lists).to_numpy(zero_copy_only=False)
-        self.row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        self.place = pc.list_flatten(t["places"].combine_chunks()).to_numpy(zero_copy_only=False).astype(np.int64)
-        self.found = [np.empty((0, 2), dtype=np.int64)]
-
-    def ranges(self, x: np.ndarray, begin: np.ndarray, many: np.ndarray, entries: np.ndarray) -> None:
-        """Compare each entry x with entries[begin : begin + many], so many pairs at a time, and keep the pairs that may be alike."""
-        size = self.size[self.row].astype(np.float32)
-        rest = size - self.place.astype(np.float32)  # sequences of a row from an entry on
-        size_y, rest_y = size[entries], rest[entries]
-        share = np.float32(self.threshold / (1 + self.threshold))  # of both sizes that alike rows have in common at least
-        done, i, split = np.cumsum(many), 0, 0  # split: partners of entry i that are compared already
-        while i < len(x):
-            base = (done[i - 1] if i else 0) + split
-            last = int(np.searchsorted(done, base + AT_ONCE, side="right"))
-            if last <= i:  # the partners of one entry in pieces
-                some, n, first = x[i : i + 1], np.array([AT_ONCE]), begin[i : i + 1] + split
-                split += AT_ONCE
-            else:
-                some, n, first = x[i:last], many[i:last].copy(), begin[i:last].copy()
-                n[0], first[0] = n[0] - split, first[0] + split
-                i, split = last, 0
-            upto = np.cumsum(n)
-            y = np.repeat(first - (upto - n), n) + np.arange(upto[-1])
-            need = share * (np.repeat(size[some], n) + size_y[y]) - np.float32(1e-3)
-            ok = np.flatnonzero((np.repeat(rest[some], n) >= need) & (rest_y[y] >= need))
-            if len(ok):
-                self.compare(self.row[some[np.searchsorted(upto, ok, side="right")]], self.row[entries[y[ok]]])
-
-    def compare(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Keep the pairs of rows that may be alike by group, size and bitmap."""
-        both = self.size[a] + self.size[b]
-        least = np.ceil(self.threshold / (1 + self.threshold) * both - 1e-9)
-        ok = np.flatnonzero((self.comp[a] != self.comp[b]) & (np.minimum(self.size[a], self.size[b]) >= least))
-        a, b, both, least = a[ok], b[ok], both[ok], least[ok]
-        ok = np.bitwise_count(self.bits[a] ^ self.bits[b]).sum(axis=1, dtype=np.int64) <= both - 2 * least
-        ok &= ~(self.single[a] & self.single[b] & (self.kind[a] == self.kind[b]))
-        if ok.any():
-            self.found.append(np.unique(np.sort(np.column_stack([self.node[a[ok]], self.node[b[ok]]]), axis=1), axis=0))
-
-    def pairs(self) -> pa.Table:
-        out = np.unique(np.concatenate(self.found), axis=0)
-        return pa.table({"a": pa.array(np.ascontiguousarray(out[:, 0])), "b": pa.array(np.ascontiguousarray(out[:, 1]))})
-
-
 def _buckets(threshold: float):  # noqa: ANN202
     """Pairs of the buckets of a part: all of small ones, links to the smallest node of larger ones."""
 
@@ -354,83 +167,12 @@ def _buckets(threshold: float):  # noqa: ANN202
     return run
 
 
-def _meet(threshold: float):  # noqa: ANN202
-    """Pairs of a part that share a rare sequence, are of several groups and may be alike by size, place and bitmap.
-
-    A row meets the rows of its sequence that are no larger, and only those of sizes, and with the sequence at such a place, that allow for the
-    similarity. Where few rows of a sequence are outside one group, they meet the rows of other groups instead.
-    """
-    share = 1 - 2 * threshold / (1 + threshold)  # of a row's sequences that it can share first with a larger one
-
-    def run(t: pa.Table) -> pa.Table:
-        p = _Part(t, threshold)
-        n = len(p.key)
-        size = p.size[p.row]
-        wide = p.key.astype(np.int64) << 32
-        order = np.argsort(wide | size)
-        key = p.key[order]
-        fresh = np.r_[True, key[1:] != key[:-1]] if n else np.empty(0, dtype=bool)
-        runs = np.cumsum(fresh) - 1
-        size, place = size[order], p.place[order]
-        span = np.int64(size.max(initial=0) + 2)
-        held = np.flatnonzero(place <= share * size + 1e-9)  # entries that a larger row may share first
-        sorted_held = runs[held] * span + size[held]
-        top = np.minimum(size, np.floor((size - place) * (1 + threshold) / threshold + 1e-9) - size).astype(np.int64)
-        low = np.ceil(threshold * size - 1e-9).astype(np.int64)
-        begin = np.searchsorted(sorted_held, runs * span + np.minimum(low, span - 1), side="left")
-        end = np.searchsorted(sorted_held, runs * span + np.clip(top, -1, span - 1), side="right")
-        many = np.where(top >= low, np.maximum(end - begin, 0), 0)
-        # the other way: by group
-        _, rank = np.unique(p.comp, return_inverse=True)
-        by_comp = np.argsort(wide | rank[p.row])
-        comp = p.comp[p.row[by_comp]]
-        change = fresh | np.r_[True, comp[1:] != comp[:-1]] if n else fresh
-        own_end = np.r_[np.flatnonzero(change), n][np.cumsum(change)] if n else change
-        run_end = np.r_[np.flatnonzero(fresh), n][np.cumsum(fresh)] if n else change
-        other = run_end - own_end
-        fewer = np.bincount(runs, weights=other) < np.bincount(runs, weights=many) if n else np.empty(0, dtype=bool)
-        x = np.flatnonzero(~fewer[runs] & (many > 0)) if n else np.empty(0, dtype=np.int64)
-        p.ranges(order[x], begin[x], many[x], order[held])
-        x = np.flatnonzero(fewer[runs] & (other > 0)) if n else x
-        p.ranges(by_comp[x], own_end[x], other[x], by_comp)
-        return p.pairs()
-
-    return run
-
-
-def _cells(df: DataFrame) -> np.ndarray:
-    """Sums of (cell, n) as a table of fixed size."""
-    counts = np.zeros(1 << DF_BITS)
-    got = df.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most 2 ** DF_BITS rows
-    counts[got["cell"].to_numpy()] = got["n"].to_numpy()
-    return counts
-
-
 def band_pairs(nodes: DataFrame, total: int, *, threshold: float, bands: int, band_rows: int) -> DataFrame:
     """Pairs (a, b) of nodes that share a bucket of some band and may be alike, a < b, distinct; nodes: (node, sec, comp, kind, text)."""
     parts = max(1, total * bands // PART)
     return nodes.mapInArrow(_band_postings(parts, threshold, bands, band_rows), POSTED).groupBy("part").applyInArrow(_buckets(threshold), "a long, b long").distinct()
 
 
-def missed_pairs(nodes: DataFrame, *, threshold: float = ALIKE, block: int | None = None) -> DataFrame:
-    """Pairs (a, b), a < b, distinct, among which is every alike pair of different groups; nodes: (node, sec, comp, kind, text).
-
-    kind: the formatting class if the node has one only, else null; nodes of one class are no links.
-    """
-    sc, block = nodes.sparkSession.sparkContext, block or BLOCK
-    counts = _cells(nodes.select("text").mapInArrow(_df_counts, "cell long, n long"))
-    held = sc.broadcast(counts)
-    hot = {}
-    if counts.max(initial=0) > block:
-        # no more sequences than rows' rarest ones divided by the block
-        full = nodes.mapInArrow(_crowded(held, block, threshold), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > block)
-        hot = {r["key"]: max(2, -(-r["n"] // block)) for r in full.toLocalIterator()}
-    keys = np.sort(np.array(list(hot), dtype=np.int64).view(np.uint64))
-    blocks = np.array([hot[int(k)] for k in keys.view(np.int64)], dtype=np.int64)
-    parts = max(1, int(((1 - threshold) * counts.sum()) // PART))
-    return nodes.mapInArrow(_prefix_postings(held, sc.broadcast((keys, blocks)), parts, threshold), POSTED).groupBy("part").applyInArrow(_meet(threshold), "a long, b long").distinct()
-
-
 def alike_nodes(nodes: DataFrame, *, threshold: float = ALIKE, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
     """Pairs (a, b) of distinct contents whose shingle sets are alike, all that join groups; nodes: (node long, section, kind, text), kind null if several."""
     total = nodes.count()
@@ -440,7 +182,7 @@ def alike_nodes(nodes: DataFrame, *, threshold: float = ALIKE, bands: int = BAND
     # nodes of one kind only that they share are no link, so their pairs join no groups
     groups = components(near.filter("ka is null or kb is null or ka <> kb").select("a", "b"), member="node", group="comp")
     grouped, _ = materialize(keyed.drop("comp").join(groups, "node", "left").select("node", "sec", F.coalesce("comp", "node").alias("comp"), "kind", "text"), "p7-grouped")
-    rest, _ = materialize(missed_pairs(grouped, threshold=threshold), "p7-rest")
+    rest, _ = materialize(missed_pairs(grouped, threshold=threshold, block=BLOCK, part=PART), "p7-rest")
     return near.select("a", "b").unionAll(verified(rest, nodes, threshold).select("a", "b"))
 
 

@@ -12,6 +12,7 @@ from quernstone.functions import text as T
 from quernstone.operators.corpus import NEAR_GATE, NEAR_RATIO, sequence_ratio
 from quernstone.operators.grading import kind_of
 from quernstone.operators.study import log, questions
+from quernstone.plans.alike import alike_pairs
 from quernstone.session import materialize, table
 
 #: Exam setups by section: items, minutes, cases and how many to choose.
@@ -85,46 +86,38 @@ def q_explanation_split(spark: SparkSession, folder: str) -> DataFrame:
     return got.join(n.select("book", F.col("n").alias("seg"), "id"), ["book", "seg"]).select("id", "explanation")
 
 
-#: Rare grams that two similar sets must share before they are compared.
-RARE = 8
+def near_gate(rows: DataFrame, threshold: float = NEAR_GATE) -> tuple[DataFrame, DataFrame]:
+    """Pairs (id_a, id_b, jaccard, node_a, node_b) of one section, id_a < id_b, whose sets of three-character sequences reach a Jaccard similarity, and
+    the distinct texts (node, text); rows: (id, section, body).
 
+    Exact (`plans.alike`). Texts that are equal are one node, so copies are compared once.
+    """
+    rows = rows.filter("length(body) >= 3").withColumn("c", F.struct(F.xxhash64("body").alias("h"), F.xxhash64(F.lit(1), "body").alias("k")))
+    made, _ = materialize(rows.groupBy("section", "c").agg(F.first("body").alias("text")).withColumn("node", F.monotonically_increasing_id()), "near-nodes")
+    placed, _ = materialize(rows.select("section", "c", "id").join(made.select("section", "c", "node"), ["section", "c"]).select("node", "id"), "near-ids")
+    nodes = made.select("node", "section", "text")
+    near, _ = materialize(alike_pairs(nodes, threshold), "near-pairs")
+    a, b = placed.withColumnsRenamed({"node": "a", "id": "x"}), placed.withColumnsRenamed({"node": "b", "id": "y"})
+    unlike = near.join(a, "a").join(b, "b")
+    ahead = F.col("x") < F.col("y")
+    unlike = unlike.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "jaccard", F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("node_a"), F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("node_b"))
+    copies = placed.join(placed.select("node", F.col("id").alias("id_b")), "node").filter("id < id_b").select(F.col("id").alias("id_a"), "id_b", F.lit(1.0).alias("jaccard"), F.col("node").alias("node_a"), F.col("node").alias("node_b"))
+    return unlike.unionAll(copies), nodes.select("node", "text")
 
-def near_gate(rows: DataFrame, threshold: float = NEAR_GATE) -> DataFrame:
-    """Pairs (id_a, id_b, jaccard) of one section whose gram sets reach a Jaccard similarity; rows: (id, section, grams).
 
-    Exact: two such sets share at least k of the rarest |S| - ceil(t |S|) + k grams of each, so pairs are counted on those and only pairs with
-    k shared ones are compared. For corpora with hot grams the operator of problem 7 does the same job by sketches.
-    """
-    g = rows.filter("size(grams) > 0").select("id", "section", F.size("grams").alias("n"), F.explode("grams").alias("g"))
-    df = g.groupBy("section", "g").agg(F.count("*").alias("df")).filter("df > 1")
-    w = Window.partitionBy("id").orderBy("df", "g")
-    ranked = g.join(df, ["section", "g"], "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("r", F.row_number().over(w))
-    prefix = ranked.filter((F.col("r") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + RARE) & (F.col("df") > 1)).select("id", "section", "n", F.xxhash64("g").alias("g"))
-    prefix, _ = materialize(prefix, "near-prefix")
-    b = prefix.select(F.col("id").alias("id_b"), "section", F.col("n").alias("n_b"), "g")
-    close = (F.col("id") < F.col("id_b")) & (F.least("n", "n_b") >= F.lit(threshold) * F.greatest("n", "n_b"))
-    counted = prefix.join(b, ["section", "g"]).filter(close).groupBy(F.col("id").alias("id_a"), "id_b").agg(F.count("*").alias("k"), F.max(F.greatest("n", "n_b")).alias("n"))
-    met = counted.filter(F.col("k") >= F.least(F.lit(RARE), F.ceil(F.lit(threshold) * F.col("n")))).select("id_a", "id_b")
-    s = rows.select("id", "grams")
-    both = met.join(s.select(F.col("id").alias("id_a"), F.col("grams").alias("a")), "id_a").join(s.select(F.col("id").alias("id_b"), F.col("grams").alias("b")), "id_b")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.select("id_a", "id_b", (shared / (F.size("a") + F.size("b") - shared)).alias("jaccard")).filter(F.col("jaccard") >= threshold)
-
-
-def _grams(spark: SparkSession, folder: str) -> DataFrame:
-    q = questions(spark, folder).filter("text is not null and choices is not null").select("id", "section", T.canonical_plain(F.col("text")).alias("body"))
-    return q.select("id", "section", "body", T.grams3(F.col("body")).alias("grams"))
+def _bodies(spark: SparkSession, folder: str) -> DataFrame:
+    return questions(spark, folder).filter("text is not null and choices is not null").select("id", "section", T.canonical_plain(F.col("text")).alias("body"))
 
 
 def q_near_gate(spark: SparkSession, folder: str) -> DataFrame:
     """Choice questions whose folded texts share enough three-character sequences."""
-    return near_gate(_grams(spark, folder)).select("id_a", "id_b", F.round("jaccard", 4).alias("jaccard"))
+    return near_gate(_bodies(spark, folder))[0].select("id_a", "id_b", F.round("jaccard", 4).alias("jaccard"))
 
 
 def q_near_report(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs past the gate whose texts are as similar as reprints."""
-    t = _grams(spark, folder).select("id", "body")
-    pairs = near_gate(_grams(spark, folder)).join(t.select(F.col("id").alias("id_a"), F.col("body").alias("a")), "id_a").join(t.select(F.col("id").alias("id_b"), F.col("body").alias("b")), "id_b")
+    t = _bodies(spark, folder).select("id", "body")
+    pairs = near_gate(_bodies(spark, folder))[0].join(t.select(F.col("id").alias("id_a"), F.col("body").alias("a")), "id_a").join(t.select(F.col("id").alias("id_b"), F.col("body").alias("b")), "id_b")
     return pairs.withColumn("ratio", F.round(sequence_ratio("a", "b"), 3)).filter(F.col("ratio") >= NEAR_RATIO).select("id_a", "id_b", "ratio")
 
 
