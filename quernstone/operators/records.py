@@ -115,10 +115,13 @@ def q_near_gate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_near_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs past the gate whose texts are as similar as reprints."""
-    t = _bodies(spark, folder).select("id", "body")
-    pairs = near_gate(_bodies(spark, folder))[0].join(t.select(F.col("id").alias("id_a"), F.col("body").alias("a")), "id_a").join(t.select(F.col("id").alias("id_b"), F.col("body").alias("b")), "id_b")
-    return pairs.withColumn("ratio", F.round(sequence_ratio("a", "b"), 3)).filter(F.col("ratio") >= NEAR_RATIO).select("id_a", "id_b", "ratio")
+    """Pairs past the gate whose texts are as similar as reprints; each pair of texts is compared once in either order."""
+    pairs, texts = near_gate(_bodies(spark, folder))
+    pairs, _ = materialize(pairs.select("id_a", "id_b", "node_a", "node_b"), "near-met")
+    side = texts.hint("merge")  # wide texts of small files: not sent to the driver
+    met = pairs.filter("node_a <> node_b").select("node_a", "node_b").distinct().join(side.select(F.col("node").alias("node_a"), F.col("text").alias("a")), "node_a").join(side.select(F.col("node").alias("node_b"), F.col("text").alias("b")), "node_b")
+    alike, _ = materialize(met.select("node_a", "node_b", F.round(sequence_ratio("a", "b"), 3).alias("ratio")).filter(F.col("ratio") >= NEAR_RATIO), "near-ratios")
+    return pairs.join(alike, ["node_a", "node_b"]).select("id_a", "id_b", "ratio").unionAll(pairs.filter("node_a = node_b").select("id_a", "id_b", F.lit(1.0).alias("ratio")))
 
 
 def q_exam_config(spark: SparkSession, folder: str) -> DataFrame:

@@ -35,3 +35,13 @@ def test_hot_sequences_bring_few_candidates(spark):
     rng = random.Random(6)
     nodes = spark.createDataFrame([(k, 1, k, None, t) for k, t in enumerate(family(rng, 300, 12, 0.4))], "node long, sec long, comp long, kind long, text string")
     assert alike.missed_pairs(nodes, threshold=0.55).count() < 300 * 299 / 2 / 20
+
+
+def test_report_compares_texts_once(spark, tmp_path):
+    """Copies are one text, and alike without a comparison."""
+    choices = [("ア", "甲")]
+    rows = [("a", "検査の記録を監査係が保管する手順", choices), ("b", "検査の記録を監査係が保管する手順。", choices), ("c", "検査の記録を監査係が保管する手順", choices), ("d", "まったく別の文を読む", choices)]
+    spark.createDataFrame([(i, None, t, c) for i, t, c in rows], "id string, section string, text string, choices array<struct<key:string,text:string>>").write.parquet(f"{tmp_path}/questions.parquet")
+    assert {(r["id_a"], r["id_b"]) for r in M.q_near_report(spark, str(tmp_path)).collect()} == {("a", "b"), ("a", "c"), ("b", "c")}
+    _, texts = M.near_gate(spark.createDataFrame([(i, "x", t) for i, t, _ in rows], "id string, section string, body string"))
+    assert texts.count() == 3
