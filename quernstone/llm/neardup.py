@@ -10,9 +10,9 @@ Copies are never expanded: only one row for each distinct (section, content, for
 `SMALL_BUCKET` rows give all their pairs, larger ones link every row to the smallest, batch by batch where they are read, so that no bucket goes
 to a task as a whole.
 
-The bands find most links cheaply. What they may miss is found exactly: two alike sets share one of the rarest sequences of both
-(prefix filter), so all pairs that share one and are not in one group yet are compared, by size, place, bitmap and at last
-the sets themselves. Sequences of many rows are split into pairs of blocks. Pairs inside a group need no comparison.
+The bands find most links cheaply. What they may miss is found exactly: two alike sets share two of the rarest sequences of both
+in one of some groups of sequences (`plans.alike`), so all pairs that do and are not in one group of rows yet are compared, by size, place, bitmap and at last
+the sets themselves. Keys of many rows are split into pairs of blocks. Pairs inside a group need no comparison.
 
 Texts travel, not their shingles, which are many times larger and cut again where they are needed.
 
@@ -24,19 +24,19 @@ take no part; rows that repeat an id count once.
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm.copies import bare
 from quernstone.llm.groups import components
-from quernstone.plans.alike import BITS, BLOCK, PART, POSTED, _bitmaps, _mix, _parted, _Part, _slices, missed_pairs, shingles, tokens
-from quernstone.session import materialize, table
+from quernstone.plans.alike import BITS, BLOCK, FILED, PART, POSTED, _bitmaps, _filed, _filed_links, _mix, _parted, _Part, _slices, missed_pairs, shingles, tokens
+from quernstone.session import materialize, shared_file, table
 
 #: Similarity that makes two records alike.
 ALIKE = 0.60
@@ -63,19 +63,31 @@ def prob_min_hash(flat: np.ndarray, owner: np.ndarray, weights: np.ndarray, rows
     low = np.uint64(0xFFFFFF)
     best = np.full(rows * registers, ~np.uint64(0))
     with np.errstate(over="ignore"):
-        seed = _mix(flat.astype(np.uint64))
-        rate, arrival, first = np.asarray(weights, dtype=np.float64), np.zeros(len(seed)), 0
-        while len(seed):
+        kinds = np.unique(flat)  # a shingle's stream is drawn once for all documents
+        seed, which = _mix(kinds.astype(np.uint64)), np.searchsorted(kinds, flat)
+        rate, even = np.asarray(weights, dtype=np.float64), bool((np.asarray(weights) == 1).all())
+        arrival, first = np.zeros(len(seed)), 0
+        while len(which):
             steps = np.arange(first, first + draws, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
             h = _mix(seed[:, None] + steps[None, :])
-            when = np.cumsum(-np.log(((h >> np.uint64(24)) + np.uint64(1)).astype(np.float64) * 2.0**-40) / rate[:, None], axis=1) + arrival[:, None]
-            slot = (owner * registers)[:, None] + (((h & low) * np.uint64(registers)) >> np.uint64(24)).astype(np.int64)
-            value = (when.view(np.uint64) & ~low) | (seed >> np.uint64(40))[:, None]
+            gone = np.cumsum(-np.log(((h >> np.uint64(24)) + np.uint64(1)).astype(np.float64) * 2.0**-40), axis=1) + arrival[:, None]
+            to = (((h & low) * np.uint64(registers)) >> np.uint64(24)).astype(np.int64)
+            winner = seed >> np.uint64(40)
+            slot = to[which]
+            slot += (owner * registers)[:, None]
+            if even:
+                value = ((gone.view(np.uint64) & ~low) | winner[:, None])[which]
+            else:
+                value = ((gone[which] / rate[:, None]).view(np.uint64) & ~low) | winner[which][:, None]
             np.minimum.at(best, slot.ravel(), value.ravel())
             latest = best.reshape(rows, registers).max(axis=1)
-            arrival = when[:, -1]
-            alive = (arrival.view(np.uint64) & ~low) < latest[owner]
-            seed, owner, rate, arrival, first = seed[alive], owner[alive], rate[alive], arrival[alive], first + draws
+            arrival, first = gone[:, -1], first + draws
+            alive = (value[:, -1] & ~low) < latest[owner]
+            left, owner, rate = which[alive], owner[alive], rate[alive]
+            still = np.zeros(len(seed), dtype=bool)
+            still[left] = True
+            which = (np.cumsum(still) - 1)[left]
+            seed, arrival = seed[still], arrival[still]
     return (best & low).reshape(rows, registers)
 
 
@@ -97,7 +109,7 @@ def _band_keys(b: pa.RecordBatch, bands: int, band_rows: int) -> tuple[np.ndarra
     return np.repeat(some, bands), keys[some].ravel(), owner, token
 
 
-def _band_postings(parts: int, threshold: float, bands: int, band_rows: int):  # noqa: ANN001, ANN202
+def _band_postings(parts: int, threshold: float, bands: int, band_rows: int, folder: str | None = None):  # noqa: ANN001, ANN202
     """Each row's bands by part, with its bitmap.
 
     A bucket that is crowded within one batch sends its smallest node only; the others of the batch are linked to it there and then, as rows
@@ -105,7 +117,8 @@ def _band_postings(parts: int, threshold: float, bands: int, band_rows: int):  #
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        path, base = f"{folder}/{uuid.uuid4().hex}", 0
+        for whole in _slices(batches, 1 << 14):
             made = [(b.num_rows, *_band_keys(b, bands, band_rows)) for b in _slices(iter([whole]), 500)]
             if not made:
                 continue
@@ -129,6 +142,9 @@ def _band_postings(parts: int, threshold: float, bands: int, band_rows: int):  #
                 near = (np.minimum(sizes[x], sizes[y]) >= least) & (np.bitwise_count(bits[x].view(np.uint64) ^ bits[y].view(np.uint64)).sum(axis=1, dtype=np.int64) <= both - 2 * least)
                 links = links[near]
                 n = len(links)
+            if len(links) and folder is not None:
+                yield _filed_links(node[links], parts)
+            elif len(links):
                 zero = pa.array(np.zeros(n + 1, dtype=np.int32))
                 empty = pa.ListArray.from_arrays(zero, pa.array([], pa.int32()))
                 yield pa.RecordBatch.from_arrays(
@@ -136,7 +152,12 @@ def _band_postings(parts: int, threshold: float, bands: int, band_rows: int):  #
                     ["part", "node", "comp", "kind", "size", "bits", "keys", "places"],
                 )
             row, key = row[~crowded], key[~crowded]
-            yield _parted(whole, row, key, np.zeros(len(row), dtype=np.int64), parts, sizes, bits)
+            place = np.zeros(len(row), dtype=np.int64)
+            if folder is None:
+                yield _parted(whole, row, key, place, parts, sizes, bits)
+            else:
+                yield _filed(whole, row, key, place, parts, sizes, bits, path, base)
+                base += whole.num_rows
 
     return run
 
@@ -145,11 +166,7 @@ def _buckets(threshold: float):  # noqa: ANN202
     """Pairs of the buckets of a part: all of small ones, links to the smallest node of larger ones."""
 
     def run(t: pa.Table) -> pa.Table:
-        linked = pc.equal(pc.list_value_length(t["keys"]), 0)
-        links = t.filter(linked)
-        p = _Part(t.filter(pc.invert(linked)), threshold)
-        if links.num_rows:
-            p.found.append(np.column_stack([links["node"].to_numpy(), links["comp"].to_numpy()]))
+        p = _Part.of(t, threshold)
         order = np.lexsort((p.node[p.row], p.key))
         key = p.key[order]
         fresh = np.r_[True, key[1:] != key[:-1]] if len(key) else np.empty(0, dtype=bool)
@@ -170,7 +187,8 @@ def _buckets(threshold: float):  # noqa: ANN202
 def band_pairs(nodes: DataFrame, total: int, *, threshold: float, bands: int, band_rows: int) -> DataFrame:
     """Pairs (a, b) of nodes that share a bucket of some band and may be alike, a < b, distinct; nodes: (node, sec, comp, kind, text)."""
     parts = max(1, total * bands // PART)
-    return nodes.mapInArrow(_band_postings(parts, threshold, bands, band_rows), POSTED).groupBy("part").applyInArrow(_buckets(threshold), "a long, b long").distinct()
+    folder = shared_file(nodes.sparkSession, "p7-bands", released=True)
+    return nodes.mapInArrow(_band_postings(parts, threshold, bands, band_rows, folder), FILED if folder else POSTED).groupBy("part").applyInArrow(_buckets(threshold), "a long, b long").distinct()
 
 
 def alike_nodes(nodes: DataFrame, *, threshold: float = ALIKE, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
